@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["q_text"]
+AREAS = ["q_text", "q_catalog"]
 
 
 def _modules():
