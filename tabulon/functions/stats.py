@@ -26,33 +26,51 @@ def md5_rank_sql(*parts: str) -> str:
     return f"('0x' || substr(md5({s}), 1, 15))::BIGINT"
 
 
-def global_index(df: DataFrame, order_col: str, out_col: str = "index",
-                 n_partitions: int | None = None) -> DataFrame:
-    """0-based dense position of each row in the order of ``order_col``
-    (assumed unique), computed without pulling rows into one task.
+def _ranged(df: DataFrame, order: list[Column], n_partitions: int | None):
+    spark = df.sparkSession
+    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
 
-    Rows are range-partitioned and the partitioned data is checkpointed into
-    the shared checkpoint folder so that partition ids are stable; only one
-    count per partition reaches the driver.
-    """
+
+def _partition_offsets(ranged: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Per range partition, the totals of all earlier partitions (one row
+    per partition: bounded by the partition count)."""
     from pyspark.sql.window import Window
 
-    from ..session import cut_lineage
+    totals = ranged.groupBy("_pid").agg(*[e.alias(k) for k, e in sums.items()])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("_pid", *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"_off_{k}")
+                                   for k in sums])
 
-    spark = df.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(
-        df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
-        .withColumn("_pid", F.spark_partition_id()))
-    counts = {r["_pid"]: r["n"] for r in
-              ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = {}, 0
-    for pid in sorted(counts):
-        offsets[pid] = acc
-        acc += counts[pid]
-    offset_map = F.create_map(*[x for pid, off in offsets.items()
-                                for x in (F.lit(pid), F.lit(off))]) if offsets else None
+
+def global_index(df: DataFrame, order_col: str, out_col: str = "index",
+                 n_partitions: int | None = None) -> DataFrame:
+    """0-based position of each row in the order of ``order_col`` (unique),
+    computed without pulling rows into one task: range partitioning, a
+    per-partition count (one row per partition), running offsets, and a
+    per-partition row number.  Both uses of the range exchange are the same
+    subtree, so Spark reuses one exchange and partition ids agree."""
+    from pyspark.sql.window import Window
+
+    ranged = _ranged(df, [F.col(order_col)], n_partitions)
+    offs = _partition_offsets(ranged, {"n": F.count(F.lit(1))})
     w = Window.partitionBy("_pid").orderBy(order_col)
-    base = offset_map[F.col("_pid")] if offset_map is not None else F.lit(0)
-    return (ranged.withColumn(out_col, (base + F.row_number().over(w) - 1).cast("long"))
-            .drop("_pid"))
+    return (ranged.join(F.broadcast(offs), "_pid")
+            .withColumn(out_col, (F.col("_off_n") + F.row_number().over(w) - 1).cast("long"))
+            .drop("_pid", "_off_n"))
+
+
+def global_prefix_sums(df: DataFrame, order: list[Column], cols: list[str],
+                       n_partitions: int | None = None) -> DataFrame:
+    """Running sums of ``cols`` over the whole table in ``order`` (rows
+    unique in that order), as ``cum_<col>``: the two-level form of an
+    unpartitioned running-sum window."""
+    from pyspark.sql.window import Window
+
+    ranged = _ranged(df, order, n_partitions)
+    offs = _partition_offsets(ranged, {c: F.sum(c) for c in cols})
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offs), "_pid")
+    for c in cols:
+        out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(w))
+    return out.drop("_pid", *[f"_off_{c}" for c in cols])
