@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["q_text", "q_catalog", "q_pairs"]
+AREAS = ["q_text", "q_catalog", "q_pairs", "q_neigh"]
 
 
 def _modules():
