@@ -68,12 +68,14 @@ def choose_test_pages(files: DataFrame, page_col: str, ratio: float, seed: int =
 
 def train_sample(files: DataFrame, page_col: str, test_pages: DataFrame) -> DataFrame:
     """Files whose page is not a test page."""
-    return files.join(test_pages, files[page_col] == test_pages["page"], "left_anti")
+    tp = test_pages.select(F.col("page").alias("_test_page"))
+    return files.join(tp, files[page_col] == tp["_test_page"], "left_anti")
 
 
 def test_sample(files: DataFrame, page_col: str, test_pages: DataFrame) -> DataFrame:
     """Files whose page is a test page."""
-    return files.join(test_pages, files[page_col] == test_pages["page"], "left_semi")
+    tp = test_pages.select(F.col("page").alias("_test_page"))
+    return files.join(tp, files[page_col] == tp["_test_page"], "left_semi")
 
 
 def positive_pairs(pairs: DataFrame, space: DataFrame, same_page: bool = True,
@@ -88,7 +90,9 @@ def positive_pairs(pairs: DataFrame, space: DataFrame, same_page: bool = True,
     capped = (j.withColumn("_h", md5_rank(F.lit(seed), F.lit("pos"), F.col("x1"), F.col("x2")))
               .orderBy("_h", "x1", "x2").limit(max_reuse))
     x = abs_diff(F.col("w1"), F.col("w2"))
-    return capped.select("x1", "x2", x.alias("x"), F.lit(1).alias("y")).filter(all_finite(F.col("x")))
+    d = F.zip_with(F.col("w1"), F.col("w2"), lambda u, v: u - v)
+    return capped.select("x1", "x2", x.alias("x"), d.alias("d"), F.lit(1).alias("y")) \
+        .filter(all_finite(F.col("x")))
 
 
 def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page: bool = True,
@@ -101,10 +105,12 @@ def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page:
     draw order; further rounds draw fresh candidates until enough are kept.
     """
     spark = space.sparkSession
-    indexed = global_index(space.select("file", "page", "w"), "file", "_i")
+    from ..session import cut_lineage
+
+    indexed = cut_lineage(global_index(space.select("file", "page", "w"), "file", "_i"))
     n = int(scalar(indexed, F.count(F.lit(1))))
     if n < 2 or n_needed <= 0:
-        return spark.createDataFrame([], "x1 long, x2 long, x array<double>, y int, t long")
+        return spark.createDataFrame([], "x1 long, x2 long, x array<double>, d array<double>, y int, t long")
     a = indexed.select(F.col("_i").alias("i1"), F.col("file").alias("x1"),
                        F.col("page").alias("p1"), F.col("w").alias("w1"))
     b = indexed.select(F.col("_i").alias("i2"), F.col("file").alias("x2"),
@@ -122,19 +128,20 @@ def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page:
                 .join(shared, ["lo", "hi"], "left_anti"))
         if not same_page:
             cand = cand.filter(~(F.col("p1") == F.col("p2")))
-        cand = cand.select("t", "x1", "x2", abs_diff(F.col("w1"), F.col("w2")).alias("x")) \
+        cand = cand.select("t", "x1", "x2", abs_diff(F.col("w1"), F.col("w2")).alias("x"),
+                           F.zip_with(F.col("w1"), F.col("w2"), lambda u, v: u - v).alias("d")) \
             .filter(all_finite(F.col("x")))
         kept = cand if kept is None else kept.unionByName(cand)
         start += m
         if scalar(kept, F.count(F.lit(1))) >= n_needed:
             break
-    return kept.orderBy("t").limit(n_needed).select("x1", "x2", "x", F.lit(0).alias("y"), "t")
+    return kept.orderBy("t").limit(n_needed).select("x1", "x2", "x", "d", F.lit(0).alias("y"), "t")
 
 
 def balanced_dataset(pos: DataFrame, neg: DataFrame, k: int | None = None) -> DataFrame:
     """Union of positive (y=1) and negative (y=0) pairs; with ``k`` the
     difference vector is also spread into columns X_0..X_{k-1}."""
-    cols = ["x1", "x2", "x", "y"]
+    cols = ["x1", "x2", "x", "d", "y"]
     u = pos.select(*cols).unionByName(neg.select(*cols))
     if k:
         u = u.select(*cols, *[F.col("x")[i].alias(f"X_{i}") for i in range(k)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["q_text", "q_catalog", "q_pairs", "q_neigh"]
+AREAS = ["q_text", "q_catalog", "q_pairs", "q_neigh", "q_topics"]
 
 
 def _modules():
