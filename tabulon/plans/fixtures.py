@@ -74,3 +74,37 @@ def topic_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("file"), F.col("label").alias("page"),
                     F.col("embedding").cast("array<double>").alias("w"))
+
+
+# ---------------------------------------------------------------------------
+# Round-trip fixtures for the tablizing operators
+# ---------------------------------------------------------------------------
+
+PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+PART_ROWS_PER_FILE = 40
+CUSTOMER_ROWS_PER_FILE = 150
+
+
+def _text_files(df, key, cols, sep, per_file, prefix, comment, empty_col=None):
+    parts = [F.col(c).cast("string") for c in cols] + ([F.lit("")] if empty_col else [])
+    line = F.concat_ws(sep, *parts)
+    fid = F.concat(F.lit(prefix), F.floor(F.col(key) / per_file).cast("string"))
+    rows = df.select(fid.alias("file_id"), F.col(key).alias("_k"), line.alias("line"))
+    body = rows.groupBy("file_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_k", "line"))), lambda s: s["line"]), "\n").alias("body"))
+    head = sep.join(cols + ([empty_col] if empty_col else []))
+    text = F.concat(F.lit(comment + " "), F.substring_index("file_id", "-", -1), F.lit("\n" + head + "\n"),
+                    F.col("body"))
+    return body.select("file_id", text.alias("text"))
+
+
+def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files with a comment line, a header and rows: part rows with
+    ``;`` (40 per file), customer rows with ``,`` (150 per file, so they are
+    sampled) and an always-empty last column ``c_comment``."""
+    part = _text_files(table(spark, sf_dir, "part"), "p_partkey", PART_COLS, ";",
+                       PART_ROWS_PER_FILE, "part-", "# part batch")
+    cust = _text_files(table(spark, sf_dir, "customer"), "c_custkey", CUSTOMER_COLS, ",",
+                       CUSTOMER_ROWS_PER_FILE, "cust-", "# customer batch", "c_comment")
+    return part.unionByName(cust)
