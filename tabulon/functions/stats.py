@@ -74,3 +74,24 @@ def global_prefix_sums(df: DataFrame, order: list[Column], cols: list[str],
     for c in cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(w))
     return out.drop("_pid", *[f"_off_{c}" for c in cols])
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row, lazily (a
+    broadcast of one row through a constant key; no driver round trip)."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster before CPU-heavy row-wise work when the
+    input has fewer partitions than the default parallelism (e.g. a table
+    stored as one row group).  Large inputs already arrive in many
+    partitions and are returned unchanged (no extra shuffle)."""
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover - plans without an RDD view
+        return df
+    return df.repartition(target) if n < target else df

@@ -110,8 +110,8 @@ def token_array(col: Column, stop: list[str] | None = None) -> Column:
     toks = F.regexp_extract_all(normalize_for_tokens(F.coalesce(col, F.lit(""))),
                                 F.lit(pattern), 0)
     if stop:
-        stop_arr = F.array(*[F.lit(w) for w in stop])
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop_arr, t))
+        # IN over many literals is planned as a hash-set lookup
+        toks = F.filter(toks, lambda t: ~t.isin(*stop))
     return toks
 
 
@@ -141,5 +141,18 @@ def light_french_stem_expr(column_name: str) -> Column:
     """Minimal French stemmer (Savoy 1999, as published) on a named column:
     words shorter than six letters unchanged; ``-aux`` -> ``-al``; other final
     ``x`` dropped; otherwise drop a final ``s``, then ``r``, then ``e``, then
-    one letter of a final double letter."""
-    return F.expr(_stem_sql(f"`{column_name}`"))
+    one letter of a final double letter.
+
+    Written as a chain of anchored ``regexp_replace`` steps so that each step
+    reads the previous one once (the expression stays linear in size)."""
+    t = F.col(column_name)
+    chain = F.regexp_replace(t, "s$", "")
+    chain = F.regexp_replace(chain, "r$", "")
+    chain = F.regexp_replace(chain, "e$", "")
+    chain = F.regexp_replace(chain, r"([a-z])\1$", "$1")
+    n = F.length(t)
+    return (F.when(n < 6, t)
+            .when(t.endswith("aux"), F.concat(F.expr(f"substr(`{column_name}`, 1, length(`{column_name}`) - 2)"),
+                                               F.lit("l")))
+            .when(t.endswith("x"), F.expr(f"substr(`{column_name}`, 1, length(`{column_name}`) - 1)"))
+            .otherwise(chain))

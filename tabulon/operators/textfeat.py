@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import global_index, scalar
+from ..functions.stats import attach_row, global_index, scalar, spread
 from ..functions.text import light_french_stem_expr, stopwords, token_array
 
 PART_WEIGHTS = {"content": 0.5, "header": 0.25, "extradata": 0.25}
@@ -93,8 +93,8 @@ def tokenize(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """(doc_id, tokens) — lower, accent-fold, ``\\b[a-z]{3,}\\b``, stop
     words removed (F8 list by default)."""
     stop = stopwords(strip_stopwords) if stop is None else stop
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       token_array(F.col(text_col), stop).alias("tokens"))
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col))).select(
+        "doc_id", token_array(F.col(text_col), stop).alias("tokens"))
 
 
 def stopword_frame(spark, strip_stopwords: bool = True) -> DataFrame:
@@ -117,23 +117,27 @@ def df_filter(counts: DataFrame, n_docs: int, min_df: int = 2,
               max_df: float = 0.95) -> DataFrame:
     """keep terms with ``min_df <= df <= max_df * n`` (n counts every
     file, empty ones too).  The kept-term list is joined back; AQE turns it
-    into a broadcast when the vocabulary is measured small."""
+    into a broadcast when the vocabulary is measured small, and the counts
+    exchange is reused by both branches."""
     max_count = max_df * n_docs if isinstance(max_df, float) else max_df
     dfs = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     keep = dfs.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_count))).select("term")
-    return counts.join(keep, "term", "left_semi")
+    # inner join on the unique kept terms (a semi join would be pushed below
+    # the count aggregate and tokenise the text twice)
+    return counts.join(keep, "term").select(*counts.columns)
 
 
 def normalize_rows(counts: DataFrame, n_docs: int, value_col: str = "count"):
     """scale each row to the mean row sum over all files (empty rows
     count 0 in the mean and get weight 1).  Returns (matrix, weights) where
-    weights has (doc_id, row_sum, weight) for non-empty rows."""
+    weights has (doc_id, row_sum, weight) for non-empty rows.  The mean is a
+    one-row aggregate attached lazily, so the counts are computed once."""
     sums = counts.groupBy("doc_id").agg(F.sum(value_col).cast("double").alias("row_sum"))
-    total = scalar(sums, F.sum("row_sum")) or 0.0
-    mean = total / n_docs if n_docs else 0.0
-    weights = sums.select("doc_id", "row_sum",
-                          F.when(F.col("row_sum") == 0, F.lit(1.0))
-                          .otherwise(F.lit(mean) / F.col("row_sum")).alias("weight"))
+    mean = sums.agg((F.sum("row_sum") / F.lit(float(n_docs) if n_docs else 1.0)).alias("_mean"))
+    weights = attach_row(sums, mean).select(
+        "doc_id", "row_sum",
+        F.when(F.col("row_sum") == 0, F.lit(1.0)).otherwise(F.col("_mean") / F.col("row_sum"))
+        .alias("weight"))
     scaled = (counts.join(weights, "doc_id")
               .select("doc_id", "term", (F.col(value_col) * F.col("weight")).alias("value")))
     return scaled, weights
@@ -236,13 +240,17 @@ def extract_features(parts: DataFrame, content: bool = True, header: bool = Fals
     chosen = [p for p, on in (("content", content), ("header", header),
                               ("extradata", extradata)) if on]
     matrices = {}
+    from ..session import cut_lineage
+
     for name in chosen:
         texts = parts.select(F.col(id_col).alias("doc_id"),
                              F.coalesce(F.col(name), F.lit("")).alias("text"))
-        matrices[name] = count_part(texts, n, min_df, max_df, strip_stopwords)
+        # stage boundary: the tokenised counts are far smaller than the text
+        # and feed several branches (vocabulary, sums, mixing)
+        matrices[name] = cut_lineage(count_part(texts, n, min_df, max_df, strip_stopwords))
     mixed = mix_parts(matrices, mode=mode)
     merged = stem_merge(mixed, representative) if stem else mixed.select("doc_id", "term", "value")
-    return tfidf(merged, n)
+    return tfidf(cut_lineage(merged), n)
 
 
 def vocabulary(matrix: DataFrame) -> DataFrame:

@@ -61,10 +61,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by writing the DataFrame as a Parquet table under the
+    shared checkpoint folder and reading it back.
+
+    Unlike ``RDD.checkpoint`` (which recomputes the plan a second time to
+    write its files) the plan runs once; the table survives the loss of
+    executors (unlike a local checkpoint) and is read back column-pruned."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, "stage")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
