@@ -185,16 +185,17 @@ def q_success_rate(spark, sf):
     return C.success_rate(o, "o_orderpriority", F.col("o_orderstatus") == "P")
 
 
-MIME_OF_FLAG = F.when(F.col("l_returnflag") == "A", F.lit("text/plain")) \
-    .when(F.col("l_returnflag") == "N", F.lit("application/zip")) \
-    .otherwise(F.lit("text/xml"))
+def _mime_of_flag():
+    return (F.when(F.col("l_returnflag") == "A", F.lit("text/plain"))
+            .when(F.col("l_returnflag") == "N", F.lit("application/zip"))
+            .otherwise(F.lit("text/xml")))
 
 
 def q_merge_cleaning_log(spark, sf):
     li = table(spark, sf, "lineitem")
     log = li.select(F.concat_ws("--", F.col("l_orderkey").cast("string"),
                                 F.col("l_linenumber").cast("string")).alias("matrix_name"),
-                    F.col("l_orderkey").alias("source_file"), MIME_OF_FLAG.alias("extension"))
+                    F.col("l_orderkey").alias("source_file"), _mime_of_flag().alias("extension"))
     summary = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id_file"),
                                                 "o_orderstatus", "o_orderpriority")
     _, reduced = C.merge_cleaning_log(log, summary, ["matrix_name", "source_file", "extension",
