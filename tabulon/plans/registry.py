@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["q_text", "q_catalog", "q_pairs", "q_neigh", "q_topics", "q_tablize"]
+AREAS = ["q_text", "q_catalog", "q_pairs", "q_neigh", "q_topics", "q_tablize", "q_sources"]
 
 
 def _modules():
