@@ -100,7 +100,21 @@ def q_stage_counts(spark, sf):
     return T.stage_counts(files, T.tablize_delimited(files, SEED))
 
 
+def q_incremental_tablize(spark, sf):
+    """S8 as a stream: land the files, tablize what arrived, run again (the
+    second run finds nothing new), read the appended cells."""
+    from ..session import scratch_dir
+    from ..streaming.incremental import land_text_files, tablize_landing_folder
+
+    landing, out, ck = (scratch_dir(spark, n) for n in ("landing", "landed-out", "landing-ckpt"))
+    land_text_files(delimited_files(spark, sf), landing)
+    tablize_landing_folder(spark, landing, out, ck)
+    tablize_landing_folder(spark, landing, out, ck)
+    return spark.read.parquet(f"{out}/cells").select("file_id", "row", "col_name", "value")
+
+
 QUERIES = {
+    "incremental_tablize": q_incremental_tablize,
     "count_lines": q_count_lines,
     "json_char_ratio": q_json_char_ratio,
     "sample_lines": q_sample_lines,
@@ -235,6 +249,7 @@ ORACLE = {
         UNION ALL SELECT file_id, row, 5, 'c_comment', NULL FROM orig WHERE col = 0 AND file_id LIKE 'cust-%'""",
     "drop_empty_columns": f"WITH {ORIG} SELECT file_id, row, col, col_name, value FROM orig",
     "tablize_delimited": f"WITH {ORIG} SELECT file_id, row, col_name, value FROM orig",
+    "incremental_tablize": f"WITH {ORIG} SELECT file_id, row, col_name, value FROM orig",
     "table_shape_profile": f"""WITH {ORIG},
         pc AS (SELECT file_id, col, count(*) AS n, count(value) AS n_present,
                  count_if(regexp_matches(value, '{T.INT_RE}')) AS n_int,
