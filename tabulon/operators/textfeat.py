@@ -108,6 +108,16 @@ def term_counts(tokens: DataFrame) -> DataFrame:
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("count")))
 
 
+def counted_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                  strip_stopwords: bool = True) -> DataFrame:
+    """F7 + F9 materialised once as a stage table: the counts feed several
+    branches (document frequency, row sums, joins) and are far smaller than
+    the text, so tokenising twice would cost more than writing them."""
+    from ..session import cut_lineage
+
+    return cut_lineage(term_counts(tokenize(docs, text_col, id_col, strip_stopwords=strip_stopwords)))
+
+
 def n_documents(docs: DataFrame) -> int:
     """Number of files (rows of the matrix), empty ones included."""
     return int(scalar(docs, F.count(F.lit(1))))
@@ -185,8 +195,10 @@ def stem_merge(matrix: DataFrame, representative: str = "first") -> DataFrame:
     """
     if "first_part" not in matrix.columns:
         matrix = matrix.withColumn("first_part", F.lit(0))
-    stemmed = matrix.withColumn("stem", light_french_stem_expr("term"))
-    per_term = stemmed.groupBy("stem", "term", "first_part").agg(F.sum("value").alias("total"))
+    # the stemmer runs once per distinct word; the (word, stem) table is a
+    # vocabulary-sized join (broadcast by AQE while it is small)
+    per_term = matrix.groupBy("term", "first_part").agg(F.sum("value").alias("total"))
+    per_term = per_term.withColumn("stem", light_french_stem_expr("term"))
     if representative == "first":
         key = F.struct("first_part", "term")
     elif representative == "heaviest":
@@ -194,6 +206,7 @@ def stem_merge(matrix: DataFrame, representative: str = "first") -> DataFrame:
     else:
         raise ValueError(f"unknown representative rule {representative!r}")
     rep = per_term.groupBy("stem").agg(F.min(key)["term"].alias("word"))
+    stemmed = matrix.join(per_term.select("term", "stem"), "term")
     summed = stemmed.groupBy("doc_id", "stem").agg(F.sum("value").alias("value"))
     return summed.join(rep, "stem").select("doc_id", F.col("word").alias("term"), "value")
 
@@ -218,8 +231,7 @@ def tfidf(matrix: DataFrame, n_docs: int, value_col: str = "value") -> DataFrame
 def count_part(texts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95,
                strip_stopwords: bool = True) -> DataFrame:
     """Counts of one text part, df-filtered and row-normalised."""
-    counts = df_filter(term_counts(tokenize(texts, strip_stopwords=strip_stopwords)),
-                       n_docs, min_df, max_df)
+    counts = df_filter(counted_terms(texts, strip_stopwords=strip_stopwords), n_docs, min_df, max_df)
     scaled, _ = normalize_rows(counts, n_docs)
     return scaled
 
@@ -245,9 +257,7 @@ def extract_features(parts: DataFrame, content: bool = True, header: bool = Fals
     for name in chosen:
         texts = parts.select(F.col(id_col).alias("doc_id"),
                              F.coalesce(F.col(name), F.lit("")).alias("text"))
-        # stage boundary: the tokenised counts are far smaller than the text
-        # and feed several branches (vocabulary, sums, mixing)
-        matrices[name] = cut_lineage(count_part(texts, n, min_df, max_df, strip_stopwords))
+        matrices[name] = count_part(texts, n, min_df, max_df, strip_stopwords)
     mixed = mix_parts(matrices, mode=mode)
     merged = stem_merge(mixed, representative) if stem else mixed.select("doc_id", "term", "value")
     return tfidf(cut_lineage(merged), n)

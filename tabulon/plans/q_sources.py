@@ -181,7 +181,7 @@ def q_skip_processed(spark, sf):
 def q_save_matrix_long(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     n = tf.n_documents(docs)
-    m = tf.tfidf(tf.df_filter(tf.term_counts(tf.tokenize(docs)), n), n, "count")
+    m = tf.tfidf(tf.df_filter(tf.counted_terms(docs), n), n, "count")
     path = scratch_dir(spark, "tfidf")
     S.save_matrix_long(m, path)
     back = S.load_matrix_long(spark, path)
@@ -191,7 +191,7 @@ def q_save_matrix_long(spark, sf):
 def q_ordered_features(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     n = tf.n_documents(docs)
-    return tf.vocabulary(tf.df_filter(tf.term_counts(tf.tokenize(docs)), n))
+    return tf.vocabulary(tf.df_filter(tf.counted_terms(docs), n))
 
 
 def q_save_dense_rows(spark, sf):

@@ -30,25 +30,25 @@ def q_stopword_list(spark, sf):
 
 
 def q_term_counts(spark, sf):
-    return tf.term_counts(tf.tokenize(_docs(spark, sf)))
+    return tf.counted_terms(_docs(spark, sf))
 
 
 def q_df_filter(spark, sf):
     docs = _docs(spark, sf)
-    return tf.df_filter(tf.term_counts(tf.tokenize(docs)), tf.n_documents(docs))
+    return tf.df_filter(tf.counted_terms(docs), tf.n_documents(docs))
 
 
 def q_normalize_rows(spark, sf):
     docs = _docs(spark, sf)
     n = tf.n_documents(docs)
-    scaled, _ = tf.normalize_rows(tf.df_filter(tf.term_counts(tf.tokenize(docs)), n), n)
+    scaled, _ = tf.normalize_rows(tf.df_filter(tf.counted_terms(docs), n), n)
     return scaled.select("doc_id", "term", F.round("value", R).alias("value"))
 
 
 def q_tfidf(spark, sf):
     docs = _docs(spark, sf)
     n = tf.n_documents(docs)
-    counts = tf.df_filter(tf.term_counts(tf.tokenize(docs)), n)
+    counts = tf.df_filter(tf.counted_terms(docs), n)
     return tf.tfidf(counts, n, "count").select("doc_id", "term", F.round("weight", R).alias("weight"))
 
 
@@ -92,7 +92,7 @@ def q_mix_parts(spark, sf):
 def _stem_input(spark, sf):
     docs = _docs(spark, sf)
     n = tf.n_documents(docs)
-    counts = tf.df_filter(tf.term_counts(tf.tokenize(docs)), n)
+    counts = tf.df_filter(tf.counted_terms(docs), n)
     return counts.select("doc_id", "term", F.col("count").cast("double").alias("value"))
 
 

@@ -24,7 +24,7 @@ SEED = 0
 def _tfidf_long(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     n = tf.n_documents(docs)
-    return tf.tfidf(tf.df_filter(tf.term_counts(tf.tokenize(docs)), n), n, "count")
+    return tf.tfidf(tf.df_filter(tf.counted_terms(docs), n), n, "count")
 
 
 def _emb_long(spark, sf):
@@ -133,7 +133,8 @@ def q_append_result_row(spark, sf):
             F.lit(True).alias("page"), F.lit(False).alias("metric_learning"),
             F.col("l_linestatus").alias("norm"), F.lit(False).alias("random"), "auc")
         RL.append_result_rows(rows, path)
-    return RL.read_result_log(spark, path)
+    log = RL.read_result_log(spark, path)
+    return log.withColumn("auc", F.round("auc", R))
 
 
 def q_best_topic_space(spark, sf):
@@ -168,4 +169,8 @@ QUERIES = {
     "both_topic_spaces": q_both_topic_spaces,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "append_result_row": """SELECT 'svd' AS model, 5 AS n_topics, 0 AS fold, true AS page, false AS metric_learning,
+        l_linestatus AS norm, false AS random, round(avg(l_discount), 6) AS auc
+        FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+}
