@@ -88,10 +88,9 @@ def spread(df: DataFrame) -> DataFrame:
     input has fewer partitions than the default parallelism (e.g. a table
     stored as one row group).  Large inputs already arrive in many
     partitions and are returned unchanged (no extra shuffle)."""
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
     try:
+        target = df.sparkSession.sparkContext.defaultParallelism
         n = df.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover - plans without an RDD view
+    except Exception:  # pragma: no cover - sessions without an RDD view
         return df
     return df.repartition(target) if n < target else df

@@ -177,3 +177,20 @@ def test_tablize_headerless_and_failures(spark):
     assert (prof["x"], prof["y"], prof["integer"], prof["float"], prof["object"]) == (12, 3, 1, 1, 1)
     names = {x["col_name"] for x in r["cells"].collect()}
     assert names == {"0", "1", "2"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_cartesian_products_in_pair_plans(spark):
+    from tabulon.plans import q_neigh
+
+    for name in ("reuse_pairs_in_neighborhood", "sampled_pair_distances", "co_reused_pairs"):
+        df = q_neigh.QUERIES[name](spark, SF001) if name in q_neigh.QUERIES else None
+        if df is None:
+            from tabulon.plans import q_pairs
+            df = q_pairs.QUERIES[name](spark, SF001)
+        df.count()
+        plan = _plan(df)
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
