@@ -131,10 +131,10 @@ def df_filter(counts: DataFrame, n_docs: int, min_df: int = 2,
     exchange is reused by both branches."""
     max_count = max_df * n_docs if isinstance(max_df, float) else max_df
     dfs = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    keep = dfs.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_count))).select("term")
+    keep = dfs.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_count)))
     # inner join on the unique kept terms (a semi join would be pushed below
-    # the count aggregate and tokenise the text twice)
-    return counts.join(keep, "term").select(*counts.columns)
+    # the count aggregate); the document frequency rides along for tfidf
+    return counts.join(keep, "term").select(*counts.columns, "df")
 
 
 def normalize_rows(counts: DataFrame, n_docs: int, value_col: str = "count"):
@@ -211,14 +211,19 @@ def stem_merge(matrix: DataFrame, representative: str = "first") -> DataFrame:
     return summed.join(rep, "stem").select("doc_id", F.col("word").alias("term"), "value")
 
 
-def tfidf(matrix: DataFrame, n_docs: int, value_col: str = "value") -> DataFrame:
+def tfidf(matrix: DataFrame, n_docs: int, value_col: str = "value",
+          df_col: str | None = None) -> DataFrame:
     """F16: idf = ln((1+n)/(1+df)) + 1 (smooth idf), tf raw, rows
-    L2-normalised; rows without terms stay empty."""
+    L2-normalised; rows without terms stay empty.  ``df_col`` names a
+    document-frequency column already carried by the matrix (counts straight
+    from :func:`df_filter`), which saves one aggregation and join."""
     nz = matrix.filter(F.col(value_col) != 0)
-    dfs = nz.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    weighted = nz.join(dfs, "term").select("doc_id", "term",
-                                           (F.col(value_col) * idf).alias("w"))
+    if df_col:
+        with_df = nz.withColumnRenamed(df_col, "df") if df_col != "df" else nz
+    else:
+        with_df = nz.join(nz.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    weighted = with_df.select("doc_id", "term", (F.col(value_col) * idf).alias("w"))
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return (weighted.join(norms, "doc_id")
             .select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight")))

@@ -195,7 +195,7 @@ def _profile(spark, sf, inc):
 def _H(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     n = tf.n_documents(docs)
-    t = tf.tfidf(tf.df_filter(tf.counted_terms(docs), n), n, "count")
+    t = tf.tfidf(tf.df_filter(tf.counted_terms(docs), n), n, "count", df_col="df")
     return t.join(docs.select("doc_id", "lang"), "doc_id").groupBy(
         F.col("lang").alias("topic"), F.col("term").alias("object")).agg(F.sum("weight").alias("weight"))
 

@@ -181,7 +181,7 @@ def q_skip_processed(spark, sf):
 def q_save_matrix_long(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     n = tf.n_documents(docs)
-    m = tf.tfidf(tf.df_filter(tf.counted_terms(docs), n), n, "count")
+    m = tf.tfidf(tf.df_filter(tf.counted_terms(docs), n), n, "count", df_col="df")
     path = scratch_dir(spark, "tfidf")
     S.save_matrix_long(m, path)
     back = S.load_matrix_long(spark, path)

@@ -35,7 +35,7 @@ def q_term_counts(spark, sf):
 
 def q_df_filter(spark, sf):
     docs = _docs(spark, sf)
-    return tf.df_filter(tf.counted_terms(docs), tf.n_documents(docs))
+    return tf.df_filter(tf.counted_terms(docs), tf.n_documents(docs)).select("doc_id", "term", "count")
 
 
 def q_normalize_rows(spark, sf):
@@ -49,7 +49,7 @@ def q_tfidf(spark, sf):
     docs = _docs(spark, sf)
     n = tf.n_documents(docs)
     counts = tf.df_filter(tf.counted_terms(docs), n)
-    return tf.tfidf(counts, n, "count").select("doc_id", "term", F.round("weight", R).alias("weight"))
+    return tf.tfidf(counts, n, "count", df_col="df").select("doc_id", "term", F.round("weight", R).alias("weight"))
 
 
 def q_text_part_content(spark, sf):

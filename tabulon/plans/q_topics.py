@@ -24,7 +24,7 @@ SEED = 0
 def _tfidf_long(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     n = tf.n_documents(docs)
-    return tf.tfidf(tf.df_filter(tf.counted_terms(docs), n), n, "count")
+    return tf.tfidf(tf.df_filter(tf.counted_terms(docs), n), n, "count", df_col="df")
 
 
 def _emb_long(spark, sf):
