@@ -27,9 +27,15 @@ def md5_rank_sql(*parts: str) -> str:
 
 
 def _ranged(df: DataFrame, order: list[Column], n_partitions: int | None):
+    """Range-partitioned rows with their partition id, stored as a stage
+    table: range bounds are sampled, so two computations of a
+    non-deterministic input could disagree on the ids; every later branch
+    (and any recomputation after an executor loss) reads the stored ids."""
+    from ..session import cut_lineage
+
     spark = df.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    return cut_lineage(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
 
 
 def _partition_offsets(ranged: DataFrame, sums: dict[str, Column]) -> DataFrame:
@@ -48,8 +54,8 @@ def global_index(df: DataFrame, order_col: str, out_col: str = "index",
     """0-based position of each row in the order of ``order_col`` (unique),
     computed without pulling rows into one task: range partitioning, a
     per-partition count (one row per partition), running offsets, and a
-    per-partition row number.  Both uses of the range exchange are the same
-    subtree, so Spark reuses one exchange and partition ids agree."""
+    per-partition row number.  The partition ids are stored with the rows
+    (see ``_ranged``), so every branch agrees on them."""
     from pyspark.sql.window import Window
 
     ranged = _ranged(df, [F.col(order_col)], n_partitions)
@@ -94,3 +100,23 @@ def spread(df: DataFrame) -> DataFrame:
     except Exception:  # pragma: no cover - sessions without an RDD view
         return df
     return df.repartition(target) if n < target else df
+
+
+def group_row_number(df: DataFrame, group_cols: list[str], order: list[Column],
+                     out_col: str = "rn", n_partitions: int | None = None) -> DataFrame:
+    """1-based row number within each group in ``order`` (rows unique in
+    that order), without putting a whole group in one task: rows are range
+    partitioned on (group, order) so a hot group spans several partitions;
+    per (partition, group) counts give each piece its offset (a window over
+    the partitions a group spans), and the final numbering is a window per
+    (partition, group)."""
+    from pyspark.sql.window import Window
+
+    ranged = _ranged(df, [*[F.col(c) for c in group_cols], *order], n_partitions)
+    counts = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", *group_cols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid", *group_cols).orderBy(*order)
+    return (ranged.join(offs, ["_pid", *group_cols])
+            .withColumn(out_col, (F.col("_off") + F.row_number().over(w)).cast("long"))
+            .drop("_pid", "_off"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import scalar
+from ..functions.stats import group_row_number, scalar
 
 EDGE_SCHEMA = "a long, b long, distance double"
 
@@ -262,9 +262,9 @@ def describe_neighbors(edges: DataFrame, files: DataFrame, pairs: DataFrame) ->
     j = e.join(p, ["lo", "hi"], "left").withColumn(
         "common_reuse", F.coalesce(F.col("common_reuse"), F.lit(False)))
     info = files.withColumnRenamed("file", "b")
-    w = Window.partitionBy("a").orderBy("distance", "b")
-    return (j.join(info, "b").withColumn("rank", F.row_number().over(w).cast("long"))
-            .drop("lo", "hi"))
+    # rank within a target without putting a large neighbourhood in one task
+    return group_row_number(j.join(info, "b").drop("lo", "hi"), ["a"],
+                            [F.col("distance"), F.col("b")], "rank")
 
 
 def reuse_edges_local(edges: DataFrame, pairs: DataFrame) -> DataFrame:
