@@ -73,9 +73,24 @@ def _sides(pdf: pd.DataFrame):
 
 
 def knn(space: DataFrame, k: int = 5, metric: str = "euclidean", include_self: bool = False,
-        block_rows: int = 2048) -> DataFrame:
+        block_rows: int = 2048, method: str = "exact", lsh_radius: float | None = None,
+        lsh_tables: int = 8) -> DataFrame:
     """The ``k`` nearest rows of every row (ties by id), as edges
-    (a, b, distance, rank)."""
+    (a, b, distance, rank).
+
+    ``method='lsh'`` is the approximate path for corpora too large for the
+    blocked search: candidate pairs from ``approxSimilarityJoin`` within
+    ``lsh_radius`` (euclidean), then the k best per row (two-phase top-k);
+    rows may get fewer than k neighbours and recall should be measured."""
+    if method == "lsh":
+        if lsh_radius is None:
+            raise ValueError("method='lsh' needs lsh_radius")
+        from .profiles import top_n_per_group
+
+        cand = _radius_lsh(space, lsh_radius, lsh_radius, lsh_tables)
+        if not include_self:
+            cand = cand.filter(F.col("a") != F.col("b"))
+        return top_n_per_group(cand, ["a"], [F.col("distance"), F.col("b")], k, "b")
     nb = _n_blocks(space, block_rows)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
