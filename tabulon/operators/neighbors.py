@@ -91,6 +91,9 @@ def knn(space: DataFrame, k: int = 5, metric: str = "euclidean", include_self: b
         if not include_self:
             cand = cand.filter(F.col("a") != F.col("b"))
         return top_n_per_group(cand, ["a"], [F.col("distance"), F.col("b")], k, "b")
+    from ..session import ship_package
+
+    ship_package(space.sparkSession)
     nb = _n_blocks(space, block_rows)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,6 +135,9 @@ def radius_neighbors(space: DataFrame, radius: float, metric: str = "euclidean",
     approximate: a subset of the exact edges)."""
     if method == "lsh":
         return _radius_lsh(space, radius, lsh_bucket_length or radius, lsh_tables)
+    from ..session import ship_package
+
+    ship_package(space.sparkSession)
     nb = _n_blocks(space, block_rows)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -183,6 +183,9 @@ def _xml_to_json(it):
 def xml_to_json(files: DataFrame, id_col: str = "file_id", xml_col: str = "xml") -> DataFrame:
     """Per-file XML -> JSON text (small helper; files spread over the
     cluster by ``mapInPandas``)."""
+    from ..session import ship_package
+
+    ship_package(files.sparkSession)
     src = files.select(F.col(id_col).cast("string").alias("file_id"), F.col(xml_col).alias("xml"))
     return src.mapInPandas(_xml_to_json, "file_id string, text string")
 

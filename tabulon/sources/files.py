@@ -195,6 +195,9 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     """One row per non-empty regular member of every zip archive
     (archive, member name with ``/`` -> ``--``, bytes); per-archive Python
     inside ``mapInPandas``, archives spread over the cluster."""
+    from ..session import ship_package
+
+    ship_package(archives.sparkSession)
     return archives.select("archive", "content").mapInPandas(_expand, ARCHIVE_SCHEMA)
 
 
@@ -216,6 +219,9 @@ def _zip_rows(it):
 def build_archives(rows: DataFrame) -> DataFrame:
     """Zip bytes built inside the job from (archive, members array<struct<name,
     text>>): the fixture of S9 and T1."""
+    from ..session import ship_package
+
+    ship_package(rows.sparkSession)
     return rows.mapInPandas(_zip_rows, "archive string, content binary")
 
 
