@@ -46,3 +46,76 @@ def test_tokens_match_python(spark, batch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "id int, text string")
     got = {r["id"]: r["t"] for r in df.select("id", token_array(F.col("text"), stop).alias("t")).collect()}
     assert got == {i: _py_tokens(t, set(stop)) for i, t in enumerate(batch)}
+
+
+def _py_type(cell):
+    for t in (int, float):
+        try:
+            t(cell)
+            return t
+        except (ValueError, OverflowError):
+            pass
+    return len(cell)
+
+
+def _py_votes(lines, sep, n_col, check=10):
+    """The header vote written directly in Python (typing by int()/float())."""
+    out = {}
+    for r in range(min(check, len(lines) // 2)):
+        content = lines[r:]
+        header = content[0].strip().split(sep)
+        if len(header) != n_col:
+            out[r] = -1.0
+            continue
+        types = {c: None for c in range(n_col)}
+        for row in content[1:10]:
+            cells = row.strip().split(sep)
+            for c in list(types):
+                t = _py_type(cells[c] if c < len(cells) else "")
+                if t != types[c]:
+                    if types[c] is None:
+                        types[c] = t
+                    else:
+                        del types[c]
+        if not types:
+            out[r] = -1.0
+            continue
+        score = 0.0
+        for c, t in types.items():
+            h = header[c]
+            if len(h) == 1:
+                score -= 1 / n_col
+            elif isinstance(t, int):
+                score += 1 if len(h) != t else -1 / n_col
+            else:
+                try:
+                    t(h)
+                    score -= 1 / n_col
+                except (ValueError, TypeError):
+                    score += 1
+        out[r] = score
+    return out
+
+
+CELL = st.sampled_from(["12", "-3", "+7", "1_000", " 4 ", "2.5", ".5", "5.", "1e3", "nan", "inf",
+                        "x", "ab", "abc", "name", "Brand#1", "", "1.2.3", "e5", "--1"])
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.integers(2, 3), st.lists(st.lists(CELL, min_size=3, max_size=3),
+                                                      min_size=2, max_size=14)),
+                min_size=1, max_size=6))
+def test_header_vote_matches_python_rule(spark, files):
+    from tabulon.operators.tablize import header_vote
+
+    rows, want = [], {}
+    for f, (n_col, grid) in enumerate(files):
+        lines = [";".join(cells[:n_col]) for cells in grid]
+        for g, line in enumerate(lines):
+            rows.append((f"f{f}", g, g, line, ";", n_col))
+        for r, sc in _py_votes(lines, ";", n_col).items():
+            want[(f"f{f}", r)] = round(sc, 9)
+    content = spark.createDataFrame(rows, "file_id string, gidx long, line_no long, line string, "
+                                          "delimiter string, n_col int")
+    got = {(r["file_id"], r["r"]): round(r["score"], 9) for r in header_vote(content).collect()}
+    assert got == want
