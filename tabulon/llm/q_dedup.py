@@ -21,7 +21,7 @@ WITH RECURSIVE w AS (
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []
     WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
 c AS (SELECT list_sort(sh) AS k, min(doc_id) AS id, len(any_value(sh)) AS n FROM s WHERE len(sh) > 0 GROUP BY 1),
 e AS (SELECT id, n, unnest(k) AS x FROM c),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS cut, any_value(a.n) + any_value(b.n) - count(*) AS whole
