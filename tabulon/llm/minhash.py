@@ -12,10 +12,11 @@ Documents with the same set are one class.  Classes that agree in a whole
 band of bins are candidates (28 bands of 7: a pair at J = 0.85 is missed with
 probability 2e-5) and are confirmed on the full sets.  No bucket is expanded
 into all its pairs: every member is first held against the bucket's smallest
-class; only members that then lie in different components are compared
-further, and of those only pairs whose distances to the smallest class differ
-by no more than the threshold allows (triangle inequality of the Jaccard
-distance), which loses nothing.
+class; only members that then lie outside its component are compared further,
+against the bucket's members in other components: in small buckets as joined
+rows, in larger ones block by block inside tasks that emit nothing but links.
+A bucket of m members with o outside costs m * o / 256 shuffled rows, split
+over as many tasks as there are block pairs.
 
 Defined results: null text is empty; a document without words is linked with
 nothing; repeated rows of one id stay, each with the same answer; a row
@@ -26,6 +27,7 @@ doc_id and text play no part; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,9 @@ from .common import SALTS, chunked, components, mix, prepare, shingles, sized, s
 BANDS, ROWS = 28, 7
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Buckets with up to so many pairs left are compared as joined rows, larger
+#: ones in blocks of so many members, so many shared shingles at a time.
+FEW_PAIRS, BLOCK, COLUMNS = 64, 256, 2048
 
 
 def sketch(rows: np.ndarray, hashes: np.ndarray, n: int, bins: int) -> np.ndarray:
@@ -108,6 +113,37 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .withColumn("linked", F.expr(f"100 * both >= {percent} * either")))
 
 
+def _links_across(percent: int):
+    """Links between the two sides of a block pair whose components differ.
+    Overlaps are counted over the shingles that two members share, some
+    thousand columns at a time."""
+    def run(group):
+        sides = [group[group["side"] == k] for k in (0, 1)]
+        if not len(sides[0]) or not len(sides[1]):
+            return group[["id", "c"]].iloc[:0].set_axis(["a", "b"], axis=1)
+        sizes = [s["items"].map(len).to_numpy() for s in sides]
+        rows = [np.repeat(np.arange(len(s)), k) for s, k in zip(sides, sizes)]
+        _, at, count = np.unique(np.concatenate([np.concatenate(s["items"].to_numpy()) for s in sides]),
+                                 return_inverse=True, return_counts=True)
+        column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]
+        columns = np.split(column, [len(rows[0])])
+        both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+        for lo in range(0, int(column.max()) + 1, COLUMNS):
+            flags = []
+            for s, r, c in zip(sides, rows, columns):
+                flag = np.zeros((len(s), COLUMNS), np.float32)
+                here = (c >= lo) & (c < lo + COLUMNS)
+                flag[r[here], c[here] - lo] = 1
+                flags.append(flag)
+            both += flags[0] @ flags[1].T
+        cut = both.astype(np.int64)
+        linked = 100 * cut >= percent * (sizes[0][:, None] + sizes[1][None] - cut)
+        linked &= sides[0]["c"].to_numpy()[:, None] != sides[1]["c"].to_numpy()[None]
+        a, b = np.nonzero(linked)
+        return pd.DataFrame({"a": sides[0]["id"].to_numpy()[a], "b": sides[1]["id"].to_numpy()[b]})
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``
@@ -131,26 +167,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     sets = stage(one.mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]))
     near = stage(_confirm(stars, sets, percent))
 
-    # Members of a bucket in different components, two by two, pruned exactly.
+    # Members of a bucket in different components.
     part = components(near.where("linked").select("a", "b"))
     part = stage(part)
-    seen = near.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
-    placed = (buckets.join(seen, ["a", "b"], "left")
-              .join(part.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    placed = (buckets.join(part.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
               .join(part.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-              .select("key", F.col("b").alias("id"), F.col("n_b").alias("n"), "far",
+              .select("key", F.col("b").alias("id"), F.col("n_b").alias("n"),
                       F.coalesce("cb", "b").alias("c"), F.coalesce("ca", "a").alias("main")))
     placed = stage(placed)
-    outside = placed.where("c <> main")
-    busy = outside.select("key").distinct()
-    x, y = outside.alias("x"), placed.join(busy, "key", "left_semi").alias("y")
-    room = 1 - percent / 100 + 1e-9
-    rest = (x.join(y, F.expr("x.key = y.key and x.c <> y.c and (y.c = y.main or x.id < y.id)"
-                             f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-                             f" and coalesce(abs(x.far - y.far) <= {room}, true)"))
+    sizes = (placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.expr("int(c <> main)")).alias("o"))
+             .where("o > 0"))
+    busy = stage(placed.join(sizes, "key"))
+    few = busy.where(f"m * o <= {FEW_PAIRS}")
+    rest = (few.where("c <> main").alias("x").join(
+        few.alias("y"), F.expr("x.key = y.key and x.c <> y.c and (y.c = y.main or x.id < y.id)"
+                               f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"),
                     F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct())
     more = _confirm(rest, sets, percent).where("linked").select("a", "b")
+    many = (busy.where(f"m * o > {FEW_PAIRS}")
+            .withColumn("blocks", F.expr(f"int(ceil(m / {BLOCK}))"))
+            .withColumn("out_blocks", F.expr(f"int(ceil(o / {BLOCK}))")))
+    place = F.xxhash64("id")
+    left = many.where("c <> main").select(
+        "key", "id", "c", F.lit(0).alias("side"), F.pmod(place, F.col("out_blocks")).alias("i"),
+        F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("j"))
+    right = many.select(
+        "key", "id", "c", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, out_blocks - 1L)")).alias("i"),
+        F.pmod(place, F.col("blocks")).alias("j"))
+    blocks = left.union(right).join(sets, "id").groupBy("key", "i", "j")
+    more = more.union(blocks.applyInPandas(_links_across(percent), "a long, b long"))
     links = near.where("linked").select("a", "b").union(more)
     whole = components(links)
     named = (classes.select("d1", "d2", "id").join(
