@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .minhash import near_duplicates
+from .suffixes import remove_repeats
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op6_minhash_near_dedup": op6_minhash_near_dedup}
+def op10_suffix_array_dedup(spark, sf_dir):
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.expr("aggregate(spans, 0L, (n, x) -> n + x.e - x.s)")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op6_minhash_near_dedup": op6_minhash_near_dedup,
+           "op10_suffix_array_dedup": op10_suffix_array_dedup}
 
 ORACLE = {
     "op6_minhash_near_dedup": r"""
