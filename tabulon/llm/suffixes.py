@@ -48,8 +48,8 @@ LENGTH, GRAM, HALF = 200, 32, 100
 BEFORE = LENGTH - GRAM
 #: Suffixes that a partition merges, on average.
 PER_PARTITION = 20_000
-#: Anchor positions that may be broadcast with the documents they belong to (16 MB).
-BROADCAST_POSITIONS = 4_000_000
+#: Rows of two longs, hashes or runs, that may be broadcast (32 MB).
+BROADCAST_ROWS = 2_000_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -290,12 +290,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = stage(docs.mapInArrow(_find, "key long, pos long, h_right long, h_left long"))
     each = found.select("key", "pos", F.explode(F.array("h_right", "h_left")).alias("h")).where("h is not null")
     again = stage(each.groupBy("h").count().where("count > 1").select("h"))
-    again = F.broadcast(again) if again.count() <= BROADCAST_POSITIONS // 2 else again
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     held = stage(each.join(again, "h", "left_semi").groupBy("key")
                  .agg(F.sort_array(F.collect_set("pos")).alias("positions")))
     total = held.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PARTITION))
-    runs = docs.join(F.broadcast(held) if total <= BROADCAST_POSITIONS else held, "key").select("key", "text", "positions")
+    runs = docs.join(held, "key").select("key", "text", "positions")
     runs = runs.mapInArrow(_runs(parts), "part int, lcps binary, rests binary, lengths binary, before binary,"
                            " before_lengths binary, counts binary, keys binary, positions binary")
     hits = runs.groupBy("part").applyInPandas(_merge, "key long, s long, e long")
@@ -315,7 +315,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     spans = stage(repeated_runs(docs.select("key", "text")))
     total = spans.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0]
-    spans = F.broadcast(spans) if total <= BROADCAST_POSITIONS // 4 else spans
+    spans = F.broadcast(spans) if total <= BROADCAST_ROWS // 2 else spans
     piece = ("transform(sequence(0, size(spans)), i -> string(substring(binary(text),"
              " int(if(i = 0, 0L, get(spans, i - 1).e)) + 1,"
              " int(if(i = size(spans), n_bytes, get(spans, i).s) - if(i = 0, 0L, get(spans, i - 1).e)))))")
