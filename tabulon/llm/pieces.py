@@ -207,22 +207,26 @@ class Encoder:
         data = np.zeros(len(raw) + n, np.uint8)  # a zero byte after each segment
         inside = np.arange(len(raw)) + seg
         data[inside] = raw
+        owner = np.zeros(len(data), np.int64)
+        owner[inside] = seg
         begin = ends[:-1] + np.arange(n)
         finish = ends[1:] + np.arange(n)
         at = inside[(raw & 0xC0) != 0x80]
-        of = np.searchsorted(begin, at, "right") - 1
+        of = owner[at]
         start, piece = self.edges(data, at)
         stop, rank = start + self.lengths[piece], self.ranks[piece]
         after = np.append(at[1:], 0)
         last_of = np.append(of[1:] != of[:-1], True)
         after[last_of] = finish[of[last_of]]
         single = np.zeros(len(data) + 1, bool)
-        single[start[stop == after[np.searchsorted(at, start)]]] = True
+        until = np.zeros(len(data), np.int64)
+        until[at] = after
+        single[start[stop == until[start]]] = True
         foreign = ~single[at]
         start = np.concatenate([start, at[foreign]])
         stop = np.concatenate([stop, after[foreign]])
         rank = np.concatenate([rank, np.full(foreign.sum(), UNKNOWN)])
-        depth = stop - begin[np.searchsorted(begin, start, "right") - 1]
+        depth = stop - begin[owner[start]]
         order = np.argsort(depth, kind="stable")
         start, stop, rank, depth = start[order], stop[order], rank[order], depth[order]
         taken = np.full(len(data) + 1, OPEN, np.int64)
@@ -255,7 +259,7 @@ class Encoder:
         spot = np.repeat(where, size) + np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         unknown = np.repeat(what == UNKNOWN, size)
         flat[unknown] = v.byte_ids[data[spot[unknown]]]
-        seg = np.searchsorted(begin, where, "right") - 1
+        seg = owner[where]
         return flat.astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(seg, size, n).astype(np.int64))])
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
