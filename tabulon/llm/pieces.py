@@ -36,7 +36,7 @@ from .common import chunked, prepare, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Distinct segments that a task remembers between batches.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 UNKNOWN, START, OPEN = -1, -2, -3
 FAR = np.int64(2**40)
 
@@ -331,7 +331,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "tokens", model: str =
             if pc.any(pc.match_substring(column, BLANK)).as_py():
                 column = pc.replace_substring(column, BLANK, " ")
             data, offsets = text_bytes(column)
-            for lo, hi in chunked(offsets, 4_000_000):
+            for lo, hi in chunked(offsets, 1_500_000):
                 flat, rows = encoder.batch(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 ids = pa.ListArray.from_arrays(rows.astype(np.int32), pa.array(flat))
                 part = batch.slice(lo, hi - lo)
@@ -358,7 +358,7 @@ def decode(df: DataFrame, tokens: str = "tokens", out: str = "decoded", model: s
             count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ids = pc.list_flatten(column).to_numpy(zero_copy_only=False)
             rows = np.concatenate([[0], np.cumsum(count)])
-            for lo, hi in chunked(rows, 1_000_000):
+            for lo, hi in chunked(rows, 300_000):
                 some = ids[rows[lo]:rows[hi]]
                 if len(some) and (some.min() < 0 or some.max() >= len(surface)):
                     raise ValueError("a piece id is outside the vocabulary")
