@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from .common import table
 from .pieces import encode_checked
+from .toxicity import classify
 
 
 def op8_sentencepiece(spark, sf_dir):
     return encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op8_sentencepiece": op8_sentencepiece}
+def op9_toxicity(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                    table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+QUERIES = {"op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
 
 ORACLE: dict[str, str] = {}
