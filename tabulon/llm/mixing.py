@@ -9,8 +9,8 @@ phase three documents at a time move along the null space of the constraints
 (words taken, documents taken) until one of them is decided, so that both
 totals of the source stay what they are; buckets of a source fly side by side
 and leave three undecided documents at most, which meet in fewer buckets
-until one is left.  The landing picks, for the last three and the source's
-few shortest, the outcome nearest to the words that remain, within one document.  All draws follow
+until one is left.  The landing picks, for the last three and a few set
+aside, the outcome nearest to the words that remain, within one document.  All draws follow
 hashes of the rows: reruns agree.
 
 Defined results: size is the number of words, null text has none; documents
@@ -34,8 +34,8 @@ from .common import fresh, prepare, sized, stage
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Documents that fly together in one task, on average.
 BUCKET = 20_000
-#: The shortest documents of a source, which do not fly: with the last three
-#: open ones they make the landing problem.
+#: Documents of a source, spread over its sizes, which do not fly: with the last
+#: three open ones they make the landing problem.
 ASIDE = 9
 
 
@@ -100,7 +100,8 @@ def _level(group: pd.DataFrame) -> pd.DataFrame:
     size = group["size"].to_numpy(float)
     draw = (group["draw"].to_numpy() + 0.5) / 2**31
     last = group["buckets"].iat[0] == 1
-    aside = np.argsort(size, kind="stable")[:ASIDE if last else 0]
+    spot = np.unique((np.linspace(0.1, 0.9, ASIDE if last else 0) * (len(size) - 1)).astype(int))
+    aside = np.argsort(size, kind="stable")[spot]
     alive = np.setdiff1d(np.arange(len(group)), aside)
     while True:
         before = len(alive)
