@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from .bitslices import top_k
 from .common import table
+from .curves import neighbours
+
+
+def op1_ann_curves(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
 def op4_exact_top_k(spark, sf_dir):
@@ -11,7 +17,7 @@ def op4_exact_top_k(spark, sf_dir):
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {"op4_exact_top_k": op4_exact_top_k}
+QUERIES = {"op1_ann_curves": op1_ann_curves, "op4_exact_top_k": op4_exact_top_k}
 
 ORACLE = {
     "op4_exact_top_k": """

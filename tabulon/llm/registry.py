@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_dedup, q_mix, q_search, q_text
+from . import q_chat, q_dedup, q_mix, q_search, q_text
 
-MODULES = [q_dedup, q_mix, q_search, q_text]
+MODULES = [q_chat, q_dedup, q_mix, q_search, q_text]
 
 
 def all_queries():
