@@ -209,9 +209,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
             .withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True))))
 
 
-def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group; the other
     rows of a kept id too, if it has several."""
     prepare(docs.sparkSession)
-    gone = stage(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = stage(near_duplicates(docs, percent, bands, rows).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(sized(gone), docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import q_chat, q_dedup, q_mix, q_search, q_text
 
 MODULES = [q_chat, q_dedup, q_mix, q_search, q_text]
 
 
 def all_queries():
-    return {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
+    return {name: fn for m in MODULES for name, fn in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def all_oracles():
