@@ -23,7 +23,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNSTEP = np.uint64(pow(int(_STEP), -1, 2**64))
 SALTS = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Text bytes that a task turns into arrays at a time (one longer text is taken whole).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 750_000
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 2**20)
 #: Rows of ids that may be broadcast (16 MB); beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -123,7 +124,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
 
 
 def prepare(spark) -> None:
-    """Checkpoint folder and package for this application."""
+    """Checkpoint folder and package for this application, and smaller Arrow
+    batches than the default where the cluster names no size (a worker holds
+    a batch and what it makes of it)."""
+    if not spark.sparkContext.getConf().contains(BATCH_KEY):
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     ensure_checkpoint_dir(spark)
     ship_package(spark)
 

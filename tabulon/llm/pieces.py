@@ -331,7 +331,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "tokens", model: str =
             if pc.any(pc.match_substring(column, BLANK)).as_py():
                 column = pc.replace_substring(column, BLANK, " ")
             data, offsets = text_bytes(column)
-            for lo, hi in chunked(offsets, 1_500_000):
+            for lo, hi in chunked(offsets, 1_000_000):
                 flat, rows = encoder.batch(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 ids = pa.ListArray.from_arrays(rows.astype(np.int32), pa.array(flat))
                 part = batch.slice(lo, hi - lo)
