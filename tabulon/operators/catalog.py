@@ -97,8 +97,8 @@ def repair_duplicate_ids(df: DataFrame, id_col: str, url_col: str, order_col: st
     aggregation) joined back, so a very frequent id is skew-split by AQE
     rather than buffered in one window task.
     """
-    first = df.groupBy(id_col).agg(F.min(order_col).alias("_first"))
-    j = df.join(first, id_col)
+    first = df.groupBy(F.col(id_col).alias("_id")).agg(F.min(order_col).alias("_first"))
+    j = df.join(first, F.col(id_col).eqNullSafe(F.col("_id")))  # rows without an id stay
     repaired = F.col(order_col) != F.col("_first")
     return j.select(*[c for c in df.columns if c != id_col],
                     F.col(id_col).alias("original_id"),

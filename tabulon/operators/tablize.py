@@ -196,14 +196,14 @@ def header_vote(content: DataFrame, check_header: int = CHECK_HEADER) -> DataFra
     j = cand.join(follow, "file_id").filter((F.col("g") > F.col("r")) & (F.col("g") <= F.col("r") + 9))
     ex = j.select("file_id", "r", "n_col", "hcells",
                   F.explode(F.sequence(F.lit(0), F.col("n_col") - 1)).alias("col"), "cells")
-    cell = F.coalesce(F.element_at("cells", F.col("col") + 1), F.lit(""))
+    cell = F.coalesce(F.try_element_at("cells", F.col("col") + 1), F.lit(""))
     typ = (F.when(is_int(cell), F.lit("int")).when(is_float(cell), F.lit("float"))
            .otherwise(F.concat(F.lit("len:"), F.length(cell).cast("string"))))
     per_col = ex.withColumn("typ", typ).groupBy("file_id", "r", "col").agg(
         F.count_distinct("typ").alias("n_types"), F.min("typ").alias("typ"),
         F.first("hcells").alias("hcells"), F.first("n_col").alias("n_col"))
     kept = per_col.filter(F.col("n_types") == 1)
-    h = F.element_at("hcells", F.col("col") + 1)
+    h = F.try_element_at("hcells", F.col("col") + 1)
     fits = (F.when(F.col("typ") == "int", is_int(h)).when(F.col("typ") == "float", is_float(h))
             .otherwise(F.length(h) == F.regexp_extract("typ", r"^len:(\d+)$", 1).cast("int")))
     vote = F.when(F.length(h) == 1, -1.0 / F.col("n_col")) \

@@ -59,28 +59,24 @@ def text_part_full(table_text: Column, extradata: Column) -> Column:
 
 def select_text(parts: DataFrame, content: bool, header: bool, extradata: bool,
                 id_col: str = "doc_id") -> DataFrame:
-    """Part selection with the reference's allowed flag combinations.
+    """Text of one of the part sets that make sense together.
 
     ``parts`` has ``content`` (table text without header), ``header`` and
-    ``extradata`` columns.
+    ``extradata`` columns; the extradata of a file goes alone or with its whole
+    table.
     """
-    full_table = F.concat_ws("\n", F.col("header"), F.col("content"))
-    if content and header and extradata:
-        text = text_part_full(full_table, F.col("extradata"))
-    elif content and not header and not extradata:
-        text = F.coalesce(F.col("content"), F.lit(""))
-    elif header and not content and not extradata:
-        text = F.coalesce(F.col("header"), F.lit(""))
-    elif extradata and not content and not header:
-        text = text_part_extradata(F.col("extradata"))
-    elif content and header and not extradata:
-        text = text_part_content_header(full_table)
-    elif header and extradata:
-        raise ValueError("header + extradata without content is not supported")
-    elif content and extradata:
-        raise ValueError("content + extradata without header is not supported")
-    else:
-        raise ValueError("no text part selected")
+    table_text = F.concat_ws("\n", F.col("header"), F.col("content"))
+    choices = {
+        ("content",): F.coalesce(F.col("content"), F.lit("")),
+        ("header",): F.coalesce(F.col("header"), F.lit("")),
+        ("extradata",): text_part_extradata(F.col("extradata")),
+        ("content", "header"): text_part_content_header(table_text),
+        ("content", "header", "extradata"): text_part_full(table_text, F.col("extradata")),
+    }
+    asked = tuple(name for name, on in zip(("content", "header", "extradata"), (content, header, extradata)) if on)
+    if asked not in choices:
+        raise ValueError(f"parts {asked} are not one of {sorted(choices)}")
+    text = choices[asked]
     return parts.select(F.col(id_col).alias("doc_id"), text.alias("text"))
 
 

@@ -41,7 +41,6 @@ ROUTES = [
     ("application/CDFV2-unknown", "excel"),
     ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "excel"),
 ]
-ENCODING_SNIFF_BYTES = 20000
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
@@ -94,8 +93,7 @@ def detect_mime(content: Column) -> Column:
         expr = expr.when(head.startswith(sig), F.lit(mime))
     for sig, mime in TEXT_SIGNATURES:
         expr = expr.when(text_head.startswith(sig), F.lit(mime))
-    sniff = F.substring(content, 1, ENCODING_SNIFF_BYTES).cast("string")
-    return expr.when(F.is_valid_utf8(sniff), F.lit("text/plain")) \
+    return expr.when(F.is_valid_utf8(content.cast("string")), F.lit("text/plain")) \
         .otherwise(F.lit("application/octet-stream"))
 
 
@@ -109,18 +107,18 @@ def route_by_type(mime: Column) -> Column:
 
 
 def detect_encoding(content: Column) -> Column:
-    """Encoding from the first bytes: byte-order marks, then ASCII, then
+    """Encoding of the whole value: byte-order marks, then ASCII, then
     valid UTF-8, else a single-byte fallback (ISO-8859-1).  Unknown -> utf-8
     is the caller's default."""
     head = F.hex(F.substring(content, 1, 3))
-    sniff = F.substring(content, 1, ENCODING_SNIFF_BYTES)
-    as_text = sniff.cast("string")
-    ascii_only = ~F.hex(sniff).rlike("^(..)*?[89A-F].")
+    as_text = content.cast("string")
+    valid = F.is_valid_utf8(as_text)
+    ascii_only = valid & (F.octet_length(content) == F.char_length(as_text))
     return (F.when(head.startswith("EFBBBF"), F.lit("UTF-8-SIG"))
             .when(head.startswith("FFFE"), F.lit("UTF-16LE"))
             .when(head.startswith("FEFF"), F.lit("UTF-16BE"))
             .when(ascii_only, F.lit("ascii"))
-            .when(F.is_valid_utf8(as_text), F.lit("utf-8"))
+            .when(valid, F.lit("utf-8"))
             .otherwise(F.lit("ISO-8859-1")))
 
 
