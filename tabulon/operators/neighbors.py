@@ -1,15 +1,20 @@
 """Neighbourhoods in the topic space.
 
-Exact search is a blocked all-pairs: rows are hashed into ``B`` blocks,
-each block pair (i <= j) is one group of at most ``2 * block_rows`` rows,
-and a vectorised NumPy kernel inside ``applyInPandas`` emits only what the
-operator needs (the k best per row, or the pairs within the radius), never
-the full pair set.  For corpora where exact search is too costly, the
-radius search can use ``BucketedRandomProjectionLSH`` (approximate; its
-recall against the exact result should be measured).
+Exact search over a cell partition: every row belongs to the nearest of at
+most ``PIVOTS`` pivot rows, and a cell's radius is the largest distance of its
+rows to the pivot.  By the triangle inequality a row at distance ``d`` from a
+pivot has no neighbour within ``r`` in that cell when ``d > r + radius``, so a
+row visits only the cells that may hold one (for kNN, ``r`` is the distance of
+the k-th nearest row of a part of its own cell).  Cells of more than
+``CELL_ROWS`` rows and visits of more than ``VISIT_ROWS`` rows are split by
+hash, so one cell that holds a third of all rows is many groups.  A kernel in
+NumPy emits only what the operator needs (the k best per row, or the pairs
+within the radius).  Vectors without low-dimensional structure prune little:
+exact search then costs what comparing all rows costs, in bounded groups.
 
 Everything after the search is joins and grouped aggregates over the edge
-table ``(a, b, distance)``.
+table ``(a, b, distance)``.  Rows with null or non-finite components (and, for
+cosine, zero vectors) have no neighbours.
 """
 
 from __future__ import annotations
@@ -23,139 +28,209 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import group_row_number, scalar
+from ..functions.vectors import all_finite
 
 EDGE_SCHEMA = "a long, b long, distance double"
-
-
-def _n_blocks(space: DataFrame, block_rows: int) -> int:
-    n = int(scalar(space, F.count(F.lit(1))) or 0)
-    return max(1, math.ceil(n / block_rows))
-
-
-def _block_groups(space: DataFrame, n_blocks: int) -> DataFrame:
-    """Each row is sent once to every block pair (min(b, j), max(b, j))."""
-    e = space.select(F.col("file").cast("long").alias("file"),
-                     F.col("w").cast("array<double>").alias("w"),
-                     F.pmod(F.xxhash64("file"), F.lit(n_blocks)).cast("int").alias("_blk"))
-    j = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    e = e.select("*", j.alias("_j"))
-    return e.select("file", "w", "_blk", F.least("_blk", "_j").alias("_bi"),
-                    F.greatest("_blk", "_j").alias("_bj"))
-
-
-def _dist(A: np.ndarray, B: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        na = np.linalg.norm(A, axis=1, keepdims=True)
-        nb = np.linalg.norm(B, axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return 1.0 - (A @ B.T) / (na * nb.T)
-    d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (A @ B.T)
-    # exact recomputation for near pairs keeps small distances accurate
-    return np.sqrt(np.maximum(d2, 0.0))
-
-
-def _exact_dist(A: np.ndarray, B: np.ndarray, ia: np.ndarray, ib: np.ndarray,
-                metric: str) -> np.ndarray:
-    if metric == "cosine":
-        a, b = A[ia], B[ib]
-        return 1.0 - (a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
-    diff = A[ia] - B[ib]
-    return np.sqrt((diff * diff).sum(1))
-
-
-def _sides(pdf: pd.DataFrame):
-    bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-    left = pdf[pdf["_blk"] == bi]
-    right = pdf[pdf["_blk"] == bj]
-    A = np.stack(left["w"].to_numpy()) if len(left) else np.zeros((0, 0))
-    B = np.stack(right["w"].to_numpy()) if len(right) else np.zeros((0, 0))
-    return bi == bj, left["file"].to_numpy(), A, right["file"].to_numpy(), B
+PIVOTS, CELL_ROWS, VISIT_ROWS = 1024, 2048, 8192
+#: Share of the norms by which an estimated distance may miss the exact one.
+SLACK = 1e-6
+
+
+def _rows(column) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def _norms(A: np.ndarray) -> np.ndarray:
+    return np.sqrt((A * A).sum(axis=1))
+
+
+def _estimate(A: np.ndarray, B: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Euclidean distances by one matrix product, and how far they may be off."""
+    a, b = _norms(A), _norms(B)
+    d2 = (a * a)[:, None] + (b * b)[None, :] - 2.0 * (A @ B.T)
+    return np.sqrt(np.maximum(d2, 0.0)), SLACK * (a[:, None] + b[None, :])
+
+
+def _exact(a: np.ndarray, B: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":  # rows have length 1
+        return 1.0 - B @ a
+    diff = B - a
+    return np.sqrt((diff * diff).sum(axis=1))
+
+
+class _Cells:
+    """Rows with their cell and part (a stored table), the pivots, and per
+    cell its radius and number of parts (at most ``PIVOTS`` values each)."""
+
+    def __init__(self, space: DataFrame, metric: str, block_rows: int):
+        from ..session import cut_lineage, ship_package
+
+        spark = space.sparkSession
+        ship_package(spark)
+        w = F.col("w").cast("array<double>")
+        rows = space.select(F.col("file").cast("long").alias("file"), w.alias("w")).filter(
+            F.col("w").isNotNull() & all_finite(F.col("w")))
+        if metric == "cosine":
+            norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
+            rows = (rows.withColumn("_n", norm).filter(F.col("_n") > 0)
+                    .select("file", F.transform("w", lambda x: x / F.col("_n")).alias("w")))
+        rows = cut_lineage(rows)
+        n = int(scalar(rows, F.count(F.lit(1))) or 0)
+        want = min(PIVOTS, max(spark.sparkContext.defaultParallelism, math.ceil(n / block_rows)))
+        picked = rows.orderBy(F.xxhash64("file"), "file").limit(want).select("w").toPandas()
+        self.empty = n == 0
+        if self.empty:
+            return
+        self.pivots = pivots = _rows(picked["w"])
+
+        def assign(it):
+            for pdf in it:
+                if len(pdf):
+                    d, _ = _estimate(_rows(pdf["w"]), pivots)
+                    cell = d.argmin(axis=1)
+                    yield pdf.assign(cell=cell.astype(np.int32), far=d[np.arange(len(d)), cell])
+
+        placed = cut_lineage(rows.mapInPandas(assign, "file long, w array<double>, cell int, far double"))
+        sizes = placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("m")).toPandas()
+        self.radius = np.full(len(pivots), -np.inf)
+        self.radius[sizes["cell"]] = sizes["radius"]
+        self.parts = np.zeros(len(pivots), np.int64)
+        self.parts[sizes["cell"]] = np.ceil(sizes["m"] / block_rows).astype(np.int64)
+        parts = F.array(*[F.lit(int(p)) for p in self.parts])
+        self.rows = placed.select("file", "w", "cell", F.pmod(
+            F.xxhash64("file"), F.element_at(parts, F.col("cell") + 1)).cast("int").alias("part"))
+
+    def visits(self, asked: DataFrame) -> DataFrame:
+        """(file, w, reach, cell, part): the parts of cells that a row of
+        ``asked`` (file, w, reach) must see."""
+        pivots, radius, parts = self.pivots, self.radius, self.parts
+
+        def spread(it):
+            for pdf in it:
+                for lo in range(0, len(pdf), 1024):
+                    some = pdf.iloc[lo:lo + 1024]
+                    d, off = _estimate(_rows(some["w"]), pivots)
+                    row, cell = np.nonzero(d <= some["reach"].to_numpy()[:, None] + radius[None, :] + 2 * off)
+                    times = parts[cell]
+                    row, cell = np.repeat(row, times), np.repeat(cell, times)
+                    part = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+                    for at in range(0, len(row), 8192):
+                        cut = slice(at, at + 8192)
+                        yield some.iloc[row[cut]].assign(cell=cell[cut].astype(np.int32),
+                                                         part=part[cut].astype(np.int32))
+
+        return asked.mapInPandas(spread, "file long, w array<double>, reach double, cell int, part int")
+
+    def search(self, asked: DataFrame, kernel) -> DataFrame:
+        """``kernel(queries, rows)`` on every part of a cell and share of its
+        visits."""
+        from ..session import cut_lineage
+
+        visits = cut_lineage(self.visits(asked))
+        shares = (visits.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"))
+                  .select("cell", "part", F.ceil(F.col("n") / VISIT_ROWS).cast("int").alias("shares")))
+        visits = visits.join(shares, ["cell", "part"]).withColumn(
+            "share", F.pmod(F.xxhash64("file", F.lit(1)), F.col("shares")).cast("int")).drop("shares")
+        rows = self.rows.join(shares, ["cell", "part"]).withColumn(
+            "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        by = ["cell", "part", "share"]
+        return visits.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(kernel, EDGE_SCHEMA)
+
+
+def _no_edges() -> pd.DataFrame:
+    return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "distance": np.zeros(0)})
+
+
+def _edges(found: list[tuple]) -> pd.DataFrame:
+    out = [pd.DataFrame({"a": np.full(len(b), a), "b": b, "distance": d}) for a, b, d in found if len(b)]
+    return pd.concat(out, ignore_index=True) if out else _no_edges()
 
 
 def knn(space: DataFrame, k: int = 5, metric: str = "euclidean", include_self: bool = False,
-        block_rows: int = 2048, method: str = "exact", lsh_radius: float | None = None,
-        lsh_tables: int = 8) -> DataFrame:
-    """The ``k`` nearest rows of every row (ties by id), as edges
-    (a, b, distance, rank).
-
-    ``method='lsh'`` is the approximate path for corpora too large for the
-    blocked search: candidate pairs from ``approxSimilarityJoin`` within
-    ``lsh_radius`` (euclidean), then the k best per row (two-phase top-k);
-    rows may get fewer than k neighbours and recall should be measured."""
-    if method == "lsh":
-        if lsh_radius is None:
-            raise ValueError("method='lsh' needs lsh_radius")
-        from .profiles import top_n_per_group
-
-        cand = _radius_lsh(space, lsh_radius, lsh_radius, lsh_tables)
-        if not include_self:
-            cand = cand.filter(F.col("a") != F.col("b"))
-        return top_n_per_group(cand, ["a"], [F.col("distance"), F.col("b")], k, "b")
-    from ..session import ship_package
-
-    ship_package(space.sparkSession)
-    nb = _n_blocks(space, block_rows)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        same, ia, A, ib, B = _sides(pdf)
-        out = []
-        if len(ia) == 0 or len(ib) == 0:
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
-        D = _dist(A, B, metric)
-        pairs = [(ia, ib, D, A, B)] if same else [(ia, ib, D, A, B), (ib, ia, D.T, B, A)]
-        for qa, qb, M, QA, QB in pairs:
-            M = M.copy()
+        block_rows: int = CELL_ROWS) -> DataFrame:
+    """The ``k`` nearest rows of every row (ties by id), exactly, as edges
+    (a, b, distance, rank); all other rows if there are fewer than ``k``."""
+    from ..session import cut_lineage
+
+    cells = _Cells(space, metric, block_rows)
+    if cells.empty:
+        return space.sparkSession.createDataFrame([], EDGE_SCHEMA + ", rank long")
+
+    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
+        """An upper bound of the k-th distance, from the row's own part."""
+        A = _rows(pdf["w"])
+        out = np.full(len(A), np.inf)
+        least = k if include_self else k + 1
+        if len(A) >= least:
+            for lo in range(0, len(A), 1024):
+                d, off = _estimate(A[lo:lo + 1024], A)
+                out[lo:lo + 1024] = np.partition(d + off, least - 1, axis=1)[:, least - 1]
+        return pd.DataFrame({"file": pdf["file"], "w": pdf["w"], "reach": out})
+
+    asked = cut_lineage(cells.rows.groupBy("cell", "part").applyInPandas(
+        reach, "file long, w array<double>, reach double"))
+
+    def kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
+            return _no_edges()
+        ids, B = rows["file"].to_numpy(), _rows(rows["w"])
+        found = []
+        for lo in range(0, len(queries), 1024):
+            some = queries.iloc[lo:lo + 1024]
+            A, own = _rows(some["w"]), some["file"].to_numpy()
+            d, off = _estimate(A, B)
             if not include_self:
-                M[qa[:, None] == qb[None, :]] = np.inf
-            kk = min(k + 1, M.shape[1])
-            # candidates: k+1 smallest per row (covers ties at the border)
-            idx = np.argpartition(M, kk - 1, axis=1)[:, :kk] if kk < M.shape[1] else \
-                np.tile(np.arange(M.shape[1]), (M.shape[0], 1))
-            rows = np.repeat(np.arange(M.shape[0]), idx.shape[1])
-            cols = idx.ravel()
-            d = _exact_dist(QA, QB, rows, cols, metric)
-            keep = np.isfinite(M[rows, cols])
-            out.append(pd.DataFrame({"a": qa[rows][keep], "b": qb[cols][keep], "distance": d[keep]}))
-        return pd.concat(out, ignore_index=True)
-
-    cand = _block_groups(space, nb).groupBy("_bi", "_bj").applyInPandas(kernel, EDGE_SCHEMA)
+                d[own[:, None] == ids[None, :]] = np.inf
+            limit = some["reach"].to_numpy()
+            if len(ids) > k:
+                limit = np.minimum(limit, np.partition(d + off, k - 1, axis=1)[:, k - 1])
+            near = (d <= limit[:, None] + 2 * off) & np.isfinite(d)
+            for i in range(len(A)):
+                at = np.flatnonzero(near[i])
+                exact = _exact(A[i], B[at], metric)
+                best = np.lexsort((ids[at], exact))[:k]
+                found.append((own[i], ids[at[best]], exact[best]))
+        return _edges(found)
+
     w = Window.partitionBy("a").orderBy("distance", "b")
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("long")))
+    return (cells.search(asked, kernel).withColumn("rank", F.row_number().over(w).cast("long"))
+            .filter(F.col("rank") <= k))
 
 
 def radius_neighbors(space: DataFrame, radius: float, metric: str = "euclidean",
-                     block_rows: int = 2048, method: str = "exact",
+                     block_rows: int = CELL_ROWS, method: str = "exact",
                      lsh_bucket_length: float | None = None, lsh_tables: int = 8) -> DataFrame:
     """Every pair (a, b) with distance <= radius, the row itself
-    included (distance 0), as edges (a, b, distance).
+    included (distance 0), exactly, as edges (a, b, distance).
 
-    ``method='exact'`` is the blocked search; ``method='lsh'`` uses
-    ``BucketedRandomProjectionLSH.approxSimilarityJoin`` (euclidean only,
-    approximate: a subset of the exact edges)."""
+    ``method='lsh'`` is an approximate search (euclidean only, a subset of
+    the exact edges) by ``BucketedRandomProjectionLSH``."""
     if method == "lsh":
         return _radius_lsh(space, radius, lsh_bucket_length or radius, lsh_tables)
-    from ..session import ship_package
-
-    ship_package(space.sparkSession)
-    nb = _n_blocks(space, block_rows)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        same, ia, A, ib, B = _sides(pdf)
-        if len(ia) == 0 or len(ib) == 0:
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
-        D = _dist(A, B, metric)
-        slack = 1e-9 * max(1.0, radius)
-        r, c = np.nonzero(D <= radius + slack)
-        d = _exact_dist(A, B, r, c, metric)
-        keep = d <= radius
-        r, c, d = r[keep], c[keep], d[keep]
-        parts = [pd.DataFrame({"a": ia[r], "b": ib[c], "distance": d})]
-        if not same:
-            parts.append(pd.DataFrame({"a": ib[c], "b": ia[r], "distance": d}))
-        return pd.concat(parts, ignore_index=True)
-
-    return _block_groups(space, nb).groupBy("_bi", "_bj").applyInPandas(kernel, EDGE_SCHEMA)
+    cells = _Cells(space, metric, block_rows)
+    if cells.empty or radius < 0:
+        return space.sparkSession.createDataFrame([], EDGE_SCHEMA)
+    # rows of length 1 at cosine distance r lie sqrt(2 r) apart
+    reach = math.sqrt(2 * radius) if metric == "cosine" else float(radius)
+
+    def kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
+            return _no_edges()
+        ids, B = rows["file"].to_numpy(), _rows(rows["w"])
+        found = []
+        for lo in range(0, len(queries), 1024):
+            some = queries.iloc[lo:lo + 1024]
+            A, own = _rows(some["w"]), some["file"].to_numpy()
+            d, off = _estimate(A, B)
+            near = d <= reach + 2 * off
+            for i in np.flatnonzero(near.any(axis=1)):
+                at = np.flatnonzero(near[i])
+                exact = _exact(A[i], B[at], metric)
+                inside = exact <= radius
+                found.append((own[i], ids[at[inside]], exact[inside]))
+        return _edges(found)
+
+    return cells.search(cells.rows.select("file", "w", F.lit(reach).alias("reach")), kernel)
 
 
 def _radius_lsh(space: DataFrame, radius: float, bucket_length: float, tables: int) -> DataFrame:
@@ -171,19 +246,6 @@ def _radius_lsh(space: DataFrame, radius: float, bucket_length: float, tables: i
                     F.col("distance").cast("double").alias("distance"))
 
 
-def radius_neighbors_of(space: DataFrame, target, radius: float) -> DataFrame:
-    """N2 (one target): rows within ``radius`` of one file; the target's
-    vector is a single row broadcast to a filter."""
-    from ..functions.vectors import euclidean
-
-    t = space.filter(F.col("file") == F.lit(target)).select(F.col("w").alias("_tw"))
-    # the one target row is attached through a constant key (bounded broadcast)
-    j = space.withColumn("_k", F.lit(1)).join(F.broadcast(t.withColumn("_k", F.lit(1))), "_k")
-    d = euclidean(F.col("w"), F.col("_tw"))
-    return j.select(F.lit(target).cast("long").alias("a"), F.col("file").cast("long").alias("b"),
-                    d.alias("distance")).filter(F.col("distance") <= radius)
-
-
 def drop_clones(edges: DataFrame) -> DataFrame:
     """Neighbours at distance 0 removed (the target itself too)."""
     return edges.filter(F.col("distance") != 0)

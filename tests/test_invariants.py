@@ -124,11 +124,9 @@ def test_knn_and_radius_match_brute_force(spark):
     assert edges == brute
     lsh = {(r["a"], r["b"]) for r in N.radius_neighbors(sp, radius, method="lsh").collect()}
     assert lsh <= brute | {(b, a) for a, b in brute}
-    approx = N.knn(sp, 5, method="lsh", lsh_radius=float(np.quantile(D[D > 0], 0.2))).collect()
-    exact = {(r["a"], r["b"]) for r in got}
-    assert approx and all(r["rank"] <= 5 for r in approx)
-    recall = len({(r["a"], r["b"]) for r in approx} & exact) / len(exact)
-    assert 0.0 < recall <= 1.0
+    copies = sp.unionByName(sp.withColumn("file", F.col("file") + 100000))
+    twice = N.knn(copies, 1, block_rows=16).collect()  # a row's copy is its nearest
+    assert {(r["a"], r["b"]) for r in twice} >= {(int(i), int(i) + 100000) for i in ids}
 
 
 def test_svd_singular_values(spark):
