@@ -5,7 +5,8 @@ shifts them at random and orders them by their Hilbert key.  The order is
 range-partitioned in Spark and cut into blocks of ``BLOCK`` rows; a query
 visits the blocks that its window (``SHARE`` of all rows around its own place,
 ``LEAST`` at least) touches, is scored there exactly on the original vectors,
-and the best of all curves are merged.  Directions, shifts and scales depend
+and the best of all curves are merged.  The query's own blocks come first:
+their k-th best score bounds what the other blocks need to hand on.  Directions, shifts and scales depend
 on the seed and on a bounded sample only (the ``SAMPLE`` vectors first by a
 hash of their id, for the scales); every row is indexed.
 
@@ -88,7 +89,8 @@ def _curve(width: int, c: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_best(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of a block for each query, own ids left out."""
+    """The k best rows of a block for each query (id, q, least), own ids left
+    out, scores of ``least`` or more only."""
     out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
     if len(rows) and len(asked):
         rows = rows.sort_values("vec_id", kind="stable")
@@ -99,12 +101,14 @@ def block_best(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
         for lo in range(0, len(q), 256):
             near = q[lo:lo + 256] @ x.T
             own = asked["id"].to_numpy()[lo:lo + 256]
+            least = asked["least"].to_numpy()[lo:lo + 256]
             near[own[:, None] == ids[None]] = -np.inf
             few = min(2 * k, len(ids))
             best = np.argpartition(-near, few - 1, axis=1)[:, :few]
             for i, at in enumerate(best):
                 at = np.sort(at[ids[at] != own[i]])
                 score = (x[at] * q[lo + i]).sum(axis=1)
+                at, score = at[score >= least[i]], score[score >= least[i]]
                 first = np.lexsort((ids[at], -score))[:k]
                 out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[at[first]], "score": score[first]}))
     return pd.concat(out)
@@ -144,10 +148,20 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int
     last = max(0, (n - 1) // BLOCK)
     near = F.expr(f"sequence(greatest(0L, (at - 1 - {half}) div {BLOCK}), least({last}L, (at - 1 + {half}) div {BLOCK}))")
     visits = ordered.join(asked, "vec_id", "left_semi").select(
-        F.col("curve").alias("on_curve"), F.explode(near).alias("in_block"), F.col("vec_id").alias("id"), F.col("v").alias("q"))
-    found = (ordered.groupBy("curve", "block").cogroup(visits.groupBy("on_curve", "in_block"))
-             .applyInPandas(lambda a, b: block_best(a, b, k), "query_id long, vec_id long, score double"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+        F.col("curve").alias("on_curve"), F.explode(near).alias("in_block"), F.col("block").alias("home"),
+        F.col("vec_id").alias("id"), F.col("v").alias("q"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        return (ordered.groupBy("curve", "block").cogroup(some.groupBy("on_curve", "in_block"))
+                .applyInPandas(lambda a, b: block_best(a, b, k), "query_id long, vec_id long, score double"))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+    none = F.lit(float("-inf"))
+    first = stage(ranked(scored(visits.where("in_block = home").withColumn("least", none))))
+    bound = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    rest = visits.where("in_block <> home").join(bound, "id", "left").withColumn("least", F.coalesce("least", none))
+    return ranked(first.drop("rank").union(scored(rest))).select("query_id", "rank", "vec_id", "score")
