@@ -291,16 +291,34 @@ def neighbor_counts(edges: DataFrame, pages: DataFrame, with_list: bool = False)
     return out
 
 
-def reuse_pairs_in_neighborhood(edges: DataFrame, pages: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per target, the number of neighbour pairs sharing a reuse at the
-    three levels: edges(t, a) ⋈ pairs(a, b) ⋈ edges(t, b), two equi joins."""
-    e = _levels(with_pages(edges, pages)).select("a", "b", "lvl_same_page", "lvl_restricted")
-    e1 = e.select(F.col("a").alias("t"), F.col("b").alias("x1"),
-                  F.col("lvl_same_page").alias("s1"), F.col("lvl_restricted").alias("r1"))
-    e2 = e.select(F.col("a").alias("t"), F.col("b").alias("x2"),
-                  F.col("lvl_same_page").alias("s2"), F.col("lvl_restricted").alias("r2"))
-    p = pairs.select("x1", "x2")
-    j = e1.join(p, "x1").join(e2, ["t", "x2"])
+def co_reused_among(pairs: DataFrame, reuses: DataFrame) -> DataFrame:
+    """The pairs (lo, hi) of ``pairs`` whose two files share a reuse of
+    ``reuses`` (file, reuse): the reuses of one file, looked up for the other."""
+    r = reuses.select("file", "reuse").distinct()
+    asked = pairs.select("lo", "hi").filter(F.col("lo") < F.col("hi")).distinct()
+    return (asked.join(r.select(F.col("file").alias("lo"), "reuse"), "lo")
+            .join(r.select(F.col("file").alias("hi"), "reuse"), ["hi", "reuse"], "left_semi")
+            .select("lo", "hi").distinct())
+
+
+def _local_pairs(edges: DataFrame, reuses: DataFrame, *flags: str) -> DataFrame:
+    """(t, x1, x2, flags of x1 and x2): pairs x1 < x2 of one target's
+    neighbours that share a reuse, paired within (target, reuse)."""
+    r = reuses.select(F.col("file").alias("b"), "reuse").distinct()
+    m = edges.select(F.col("a").alias("t"), "b", *flags).join(r, "b")
+
+    def side(i: int) -> DataFrame:
+        return m.select("t", "reuse", F.col("b").alias(f"x{i}"), *[F.col(f).alias(f"{f}{i}") for f in flags])
+
+    return side(1).join(side(2), ["t", "reuse"]).filter(F.col("x1") < F.col("x2")).drop("reuse").distinct()
+
+
+def reuse_pairs_in_neighborhood(edges: DataFrame, pages: DataFrame, reuses: DataFrame) -> DataFrame:
+    """Per target, the number of neighbour pairs sharing a reuse of
+    ``reuses`` (file, reuse) at the three levels."""
+    e = (_levels(with_pages(edges, pages)).withColumnRenamed("lvl_same_page", "s")
+         .withColumnRenamed("lvl_restricted", "r"))
+    j = _local_pairs(e, reuses, "s", "r")
     per = j.groupBy("t").agg(F.count(F.lit(1)).alias("n_reuses_clone"),
                              F.count_if(F.col("s1") & F.col("s2")).alias("n_reuse_same_page"),
                              F.count_if(F.col("r1") & F.col("r2")).alias("n_reuses"))
@@ -311,16 +329,14 @@ def reuse_pairs_in_neighborhood(edges: DataFrame, pages: DataFrame, pairs: DataF
     return out.withColumnRenamed("t", "a")
 
 
-def target_reuses(edges: DataFrame, pages: DataFrame, pairs: DataFrame,
-                  reused_files: DataFrame) -> DataFrame:
-    """Per target, neighbours sharing a reuse with the target at the
-    three levels.  A neighbour shares a reuse when (target, neighbour) is a
-    co-reused pair, or when it is the target itself and the target has a
-    reuse (``reused_files``: files with at least one reuse)."""
+def target_reuses(edges: DataFrame, pages: DataFrame, reuses: DataFrame) -> DataFrame:
+    """Per target, neighbours sharing a reuse of ``reuses`` (file, reuse)
+    with the target at the three levels; the target itself shares one when
+    it has any."""
     e = _levels(with_pages(edges, pages))
     e = e.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
-    p = pairs.select(F.col("x1").alias("lo"), F.col("x2").alias("hi"), F.lit(True).alias("_pair"))
-    rf = reused_files.select(F.col("file").alias("a"), F.lit(True).alias("_reused"))
+    p = co_reused_among(e, reuses).withColumn("_pair", F.lit(True))
+    rf = reuses.select(F.col("file").alias("a"), F.lit(True).alias("_reused")).distinct()
     j = e.join(p, ["lo", "hi"], "left").join(rf, "a", "left")
     share = F.when(F.col("a") == F.col("b"), F.coalesce(F.col("_reused"), F.lit(False))) \
         .otherwise(F.coalesce(F.col("_pair"), F.lit(False)))
@@ -335,28 +351,26 @@ def target_reuses(edges: DataFrame, pages: DataFrame, pairs: DataFrame,
     return out
 
 
-def describe_neighbors(edges: DataFrame, files: DataFrame, pairs: DataFrame) -> DataFrame:
+def describe_neighbors(edges: DataFrame, files: DataFrame, reuses: DataFrame) -> DataFrame:
     """Neighbour report: for each (target, neighbour) the neighbour's
-    descriptive columns (from ``files`` keyed by ``file``), the distance,
-    its rank by distance and whether it shares a reuse with the target."""
+    descriptive columns (from ``files`` keyed by ``file``; NULL where it has
+    no row there), the distance, its rank by distance and whether it shares a
+    reuse of ``reuses`` (file, reuse) with the target."""
     e = drop_clones(edges)
     e = e.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
-    p = pairs.select(F.col("x1").alias("lo"), F.col("x2").alias("hi"), F.lit(True).alias("common_reuse"))
+    p = co_reused_among(e, reuses).withColumn("common_reuse", F.lit(True))
     j = e.join(p, ["lo", "hi"], "left").withColumn(
         "common_reuse", F.coalesce(F.col("common_reuse"), F.lit(False)))
     info = files.withColumnRenamed("file", "b")
     # rank within a target without putting a large neighbourhood in one task
-    return group_row_number(j.join(info, "b").drop("lo", "hi"), ["a"],
+    return group_row_number(j.join(info, "b", "left").drop("lo", "hi"), ["a"],
                             [F.col("distance"), F.col("b")], "rank")
 
 
-def reuse_edges_local(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def reuse_edges_local(edges: DataFrame, reuses: DataFrame) -> DataFrame:
     """Per target, the co-reused pairs (a, b) whose both files are in the
     target's neighbourhood (the target included, distance 0)."""
-    e1 = edges.select(F.col("a").alias("target"), F.col("b").alias("x1"))
-    e2 = edges.select(F.col("a").alias("target"), F.col("b").alias("x2"))
-    return e1.join(pairs.select("x1", "x2"), "x1").join(e2, ["target", "x2"]) \
-        .select("target", "x1", "x2")
+    return _local_pairs(edges, reuses).select(F.col("t").alias("target"), "x1", "x2")
 
 
 def neighbors_by_page(edges: DataFrame, pages: DataFrame) -> DataFrame:

@@ -79,30 +79,34 @@ def test_sample(files: DataFrame, page_col: str, test_pages: DataFrame) -> DataF
 
 
 def positive_pairs(pairs: DataFrame, space: DataFrame, same_page: bool = True,
-                   max_reuse: int = 30000, seed: int = 0) -> DataFrame:
+                   max_reuse: int | None = 30000, seed: int = 0) -> DataFrame:
     """P5: co-reused pairs whose two files are in ``space`` (file, page, w);
-    same-page pairs dropped unless ``same_page``; at most ``max_reuse`` of
-    them (first in ``md5`` order); x = |w1 - w2|; non-finite rows dropped."""
+    same-page pairs dropped unless ``same_page``; x = |w1 - w2|; non-finite
+    rows dropped; of the rest at most ``max_reuse`` (first in ``md5`` order;
+    None: all of them, as every evaluation asks)."""
     p = pairs if same_page else pairs.filter(F.col("same_page") == 0)
     a = space.select(F.col("file").alias("x1"), F.col("w").alias("w1"))
     b = space.select(F.col("file").alias("x2"), F.col("w").alias("w2"))
-    j = p.join(a, "x1").join(b, "x2")
-    capped = (j.withColumn("_h", md5_rank(F.lit(seed), F.lit("pos"), F.col("x1"), F.col("x2")))
-              .orderBy("_h", "x1", "x2").limit(max_reuse))
     x = abs_diff(F.col("w1"), F.col("w2"))
     d = F.zip_with(F.col("w1"), F.col("w2"), lambda u, v: u - v)
-    return capped.select("x1", "x2", x.alias("x"), d.alias("d"), F.lit(1).alias("y")) \
-        .filter(all_finite(F.col("x")))
+    out = (p.join(a, "x1").join(b, "x2")
+           .select("x1", "x2", x.alias("x"), d.alias("d"), F.lit(1).alias("y")).filter(all_finite(F.col("x"))))
+    if max_reuse is None:
+        return out
+    return (out.withColumn("_h", md5_rank(F.lit(seed), F.lit("pos"), F.col("x1"), F.col("x2")))
+            .orderBy("_h", "x1", "x2").limit(max_reuse).drop("_h"))
 
 
 def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page: bool = True,
-                   seed: int = 0, oversample: float = 2.0, max_rounds: int = 20) -> DataFrame:
+                   seed: int = 0, oversample: float = 2.0, max_rounds: int = 12) -> DataFrame:
     """``n_needed`` random pairs of distinct files that share no reuse
     (and, unless ``same_page``, not the same page), finite differences only.
 
     Candidates are drawn by hashed indices into a dense file index (no cross
     join), filtered by an anti join against the co-reused pairs, and taken in
-    draw order; further rounds draw fresh candidates until enough are kept.
+    draw order; further rounds, each stored and twice as large, draw fresh
+    candidates until enough are kept.  Raises if thousands of draws per pair
+    do not suffice: then hardly any such pair exists.
     """
     spark = space.sparkSession
     from ..session import cut_lineage
@@ -116,9 +120,9 @@ def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page:
     b = indexed.select(F.col("_i").alias("i2"), F.col("file").alias("x2"),
                        F.col("page").alias("p2"), F.col("w").alias("w2"))
     shared = pairs.select(F.col("x1").alias("lo"), F.col("x2").alias("hi"))
-    kept, start = None, 0
-    for _ in range(max_rounds):
-        m = int(max(n_needed, 1) * oversample) + 16
+    kept, start, found = None, 0, 0
+    for i in range(max_rounds):
+        m = (int(n_needed * oversample) + 16) << i
         draws = spark.range(start, start + m).select(
             F.col("id").alias("t"),
             F.pmod(md5_rank(F.lit(seed), F.lit("a"), F.col("id")), F.lit(n)).alias("i1"),
@@ -131,10 +135,14 @@ def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page:
         cand = cand.select("t", "x1", "x2", abs_diff(F.col("w1"), F.col("w2")).alias("x"),
                            F.zip_with(F.col("w1"), F.col("w2"), lambda u, v: u - v).alias("d")) \
             .filter(all_finite(F.col("x")))
+        cand = cut_lineage(cand)
+        found += cand.count()
         kept = cand if kept is None else kept.unionByName(cand)
         start += m
-        if scalar(kept, F.count(F.lit(1))) >= n_needed:
+        if found >= n_needed:
             break
+    else:
+        raise ValueError(f"{found} pairs without a common reuse in {start} draws, {n_needed} needed")
     return kept.orderBy("t").limit(n_needed).select("x1", "x2", "x", "d", F.lit(0).alias("y"), "t")
 
 

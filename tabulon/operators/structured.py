@@ -5,7 +5,7 @@ A JSON file is explored level by level as a table of nodes
 ``from_json(text, 'map<string,string>')`` (document order kept, nested
 values as raw JSON text) and arrays from ``from_json(text, 'array<string>')``.
 Each level is one distributed step; the loop stops when no file has an
-unexplored node left or at the depth bound.  XML files are first turned
+unexplored node left.  XML files are first turned
 into the same JSON shape (attributes ``@name``, text ``$``) by a small
 per-file helper inside ``mapInPandas``.
 """
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 # GeoJSON object types.
 GEOJSON_TYPES = ["FeatureCollection", "Feature", "Point", "MultiPoint", "LineString",
                  "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection"]
-MAX_DEPTH = 20
 
 MAP = "map<string,string>"
 
@@ -38,7 +37,9 @@ def classify_json(text: Column) -> Column:
 
 
 def _is_object_text(c: Column) -> Column:
-    return F.ltrim(c).startswith("{")
+    """By JSON type: a string that only starts with ``{`` is no object."""
+    kind = F.schema_of_variant(F.try_parse_json(c))
+    return F.ltrim(c).startswith("{") & F.coalesce(kind.startswith("OBJECT"), F.lit(False))
 
 
 def _record_list(value: Column) -> Column:
@@ -68,22 +69,20 @@ def find_record_list(nodes: DataFrame) -> DataFrame:
 
 
 def find_record_list_deep(files: DataFrame, id_col: str = "file_id", text_col: str = "text",
-                          max_depth: int = MAX_DEPTH, all_nodes: bool = False) -> DataFrame:
-    """Depth-first search for a record list through object members, to
-    ``max_depth`` levels; the first hit in depth-first (pre-)order wins.
+                          all_nodes: bool = False) -> DataFrame:
+    """Depth-first search for a record list through object members, as
+    deep as they nest; the first hit in depth-first (pre-)order wins.
     With ``all_nodes`` every node's hit is returned (used for XML)."""
     from ..session import cut_lineage
 
     frontier = files.select(F.col(id_col).alias("file_id"),
                             F.array().cast("array<int>").alias("path"), F.col(text_col).alias("text"))
     hits = None
-    for depth in range(max_depth + 1):
+    while True:
         frontier = cut_lineage(frontier)
         h = find_record_list(frontier)
         h = cut_lineage(h)
         hits = h if hits is None else hits.unionByName(h)
-        if depth == max_depth:
-            break
         kids = frontier.filter(_is_object_text(F.col("text"))).select(
             "file_id", "path", F.posexplode(F.map_entries(F.from_json("text", MAP))).alias("pos", "e"))
         kids = kids.filter(_is_object_text(F.col("e.value"))).select(
@@ -104,15 +103,16 @@ def find_record_list_deep(files: DataFrame, id_col: str = "file_id", text_col: s
                     F.col("b.records").alias("records"))
 
 
-def normalize_records(found: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def normalize_records(found: DataFrame) -> DataFrame:
     """Records -> long cells (file_id, path, row, col_name, value);
-    nested objects become dotted column names, lists stay as JSON text."""
+    nested objects become dotted column names to any depth, lists stay as
+    JSON text."""
     from ..session import cut_lineage
 
     recs = found.select("file_id", "path", F.posexplode("records").alias("row", "text")) \
         .select("file_id", "path", "row", F.lit("").alias("prefix"), "text")
     cells = None
-    for _ in range(max_depth):
+    while True:
         recs = cut_lineage(recs)
         ex = recs.select("file_id", "path", "row", "prefix",
                          F.explode(F.map_entries(F.from_json("text", MAP))).alias("e"))
@@ -199,14 +199,13 @@ def clean_xml_name(name: Column) -> Column:
     return F.regexp_replace(n, "_$", "")
 
 
-def tablize_xml(files: DataFrame, id_col: str = "file_id", xml_col: str = "xml",
-                max_depth: int = MAX_DEPTH) -> DataFrame:
+def tablize_xml(files: DataFrame, id_col: str = "file_id", xml_col: str = "xml") -> DataFrame:
     """Record lists found at every element; the table with the most
     non-empty columns wins, ties by more rows, then by document order;
     names cleaned.  Long cells (file_id, row, col_name, value)."""
     js = xml_to_json(files, id_col, xml_col).filter(F.col("text").isNotNull())
-    found = find_record_list_deep(js, max_depth=max_depth, all_nodes=True)
-    cells = drop_empty_json_columns(normalize_records(found, max_depth))
+    found = find_record_list_deep(js, all_nodes=True)
+    cells = drop_empty_json_columns(normalize_records(found))
     shape = cells.groupBy("file_id", "path").agg(F.count_distinct("col_name").alias("n_col"),
                                                  F.count_distinct("row").alias("n_row"))
     best = shape.groupBy("file_id").agg(F.max(F.struct(

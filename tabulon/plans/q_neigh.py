@@ -17,6 +17,7 @@ from ..operators import neighbors as N
 from ..operators import pairs as P
 from ..operators import profiles as Rp
 from ..operators import textfeat as tf
+from ..session import cut_lineage
 from .fixtures import table, topic_space
 from .q_pairs import fixed_L
 from .q_text import COUNTS
@@ -44,12 +45,8 @@ def _edges_reuse(spark, sf):
     return li.join(_space(spark, sf).select("file"), "file", "left_semi")
 
 
-def _pairs(spark, sf):
-    return P.co_reused_pairs(_edges_reuse(spark, sf), _pages(spark, sf))
-
-
 def _radius(spark, sf):
-    return N.radius_neighbors(_space(spark, sf), RADIUS)
+    return cut_lineage(N.radius_neighbors(_space(spark, sf), RADIUS))
 
 
 def q_knn(spark, sf):
@@ -76,23 +73,22 @@ def q_neighbor_counts(spark, sf):
 
 
 def q_reuse_pairs_in_neighborhood(spark, sf):
-    return N.reuse_pairs_in_neighborhood(_radius(spark, sf), _pages(spark, sf), _pairs(spark, sf))
+    return N.reuse_pairs_in_neighborhood(_radius(spark, sf), _pages(spark, sf), _edges_reuse(spark, sf))
 
 
 def q_target_reuses(spark, sf):
-    reused = _edges_reuse(spark, sf).select("file").distinct()
-    return N.target_reuses(_radius(spark, sf), _pages(spark, sf), _pairs(spark, sf), reused)
+    return N.target_reuses(_radius(spark, sf), _pages(spark, sf), _edges_reuse(spark, sf))
 
 
 def q_describe_neighbors(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "source", "lang")
-    d = N.describe_neighbors(_radius(spark, sf), docs, _pairs(spark, sf))
+    d = N.describe_neighbors(_radius(spark, sf), docs, _edges_reuse(spark, sf))
     return d.select("a", "b", "rank", F.round("distance", R).alias("distance"), "source", "lang",
                     "common_reuse")
 
 
 def q_reuse_edges_local(spark, sf):
-    return N.reuse_edges_local(_radius(spark, sf), _pairs(spark, sf))
+    return N.reuse_edges_local(_radius(spark, sf), _edges_reuse(spark, sf))
 
 
 def q_neighbors_by_page(spark, sf):
@@ -110,13 +106,13 @@ def q_sampled_pair_distances(spark, sf):
 
 
 def _categorized(spark, sf):
-    s = _sampled(spark, sf)
+    s = cut_lineage(_sampled(spark, sf))
     pages = _pages(spark, sf)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "source", "lang")
     tags = table(spark, sf, "part").select(F.col("p_partkey").alias("file"),
                                            F.split("p_name", " ").alias("tags"))
-    pairs = _pairs(spark, sf).select(F.col("x1").alias("lo"), F.col("x2").alias("hi"),
-                                     F.lit(True).alias("same_reuse"))
+    asked = s.select(F.least("file", "partner").alias("lo"), F.greatest("file", "partner").alias("hi"))
+    pairs = N.co_reused_among(asked, _edges_reuse(spark, sf)).withColumn("same_reuse", F.lit(True))
 
     def side(df, suffix, key):
         return df.select(F.col("file").alias(key), *[F.col(c).alias(c + suffix)
@@ -347,7 +343,7 @@ ORACLE = {
         e AS (SELECT a, b, distance, (least(a, b), greatest(a, b)) IN (SELECT (x1, x2) FROM pr) AS common_reuse
               FROM edges WHERE distance <> 0)
         SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank, round(distance, {R}) AS distance,
-               source, lang, common_reuse FROM e JOIN documents ON doc_id = b""",
+               source, lang, common_reuse FROM e LEFT JOIN documents ON doc_id = b""",
     "reuse_edges_local": f"""WITH {BASE}
         SELECT e1.a AS target, pr.x1, pr.x2 FROM edges e1 JOIN pr ON pr.x1 = e1.b
         JOIN edges e2 ON e2.a = e1.a AND e2.b = pr.x2""",

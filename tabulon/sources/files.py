@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -171,32 +172,51 @@ def skip_processed(todo: DataFrame, outputs: DataFrame, key: str,
 
 # S9 --------------------------------------------------------------------------
 
-ARCHIVE_SCHEMA = "archive string, member string, content binary"
+ARCHIVE_SCHEMA = "archive string, member string, content binary, message string"
+#: What a damaged, encrypted or unsupported archive or member raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, ValueError)
 
 
 def _expand(it):
+    def row(*values):
+        return pd.DataFrame([values], columns=["archive", "member", "content", "message"])
+
     for pdf in it:
-        rows = []
         for name, blob in zip(pdf["archive"], pdf["content"]):
             try:
-                zf = zipfile.ZipFile(io.BytesIO(bytes(blob)))
-            except zipfile.BadZipFile:
+                zf = zipfile.ZipFile(io.BytesIO(bytes(blob or b"")))
+                members = zf.infolist()
+            except UNREADABLE as e:
+                yield row(name, None, None, str(e) or type(e).__name__)
                 continue
-            for info in zf.infolist():
+            for info in members:
                 if info.is_dir() or info.file_size == 0:
                     continue
-                rows.append((name, info.filename.replace("/", "--"), zf.read(info)))
-        yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                member = info.filename.replace("/", "--")
+                try:
+                    yield row(name, member, zf.read(info), None)
+                except UNREADABLE as e:
+                    yield row(name, member, None, str(e) or type(e).__name__)
 
 
-def expand_archives(archives: DataFrame) -> DataFrame:
-    """One row per non-empty regular member of every zip archive
-    (archive, member name with ``/`` -> ``--``, bytes); per-archive Python
-    inside ``mapInPandas``, archives spread over the cluster."""
+def expand_archives_checked(archives: DataFrame):
+    """S9 with S7: (members, errors): one row per non-empty regular member
+    of every zip archive, one at a time, and one error row (archive, member,
+    error_type, message) per archive or member that cannot be read."""
     from ..session import ship_package
 
     ship_package(archives.sparkSession)
-    return archives.select("archive", "content").mapInPandas(_expand, ARCHIVE_SCHEMA)
+    found = archives.select("archive", "content").mapInPandas(_expand, ARCHIVE_SCHEMA)
+    good, bad = error_quarantine(found.withColumnRenamed("message", "_why"), F.col("_why").isNull(),
+                                 F.lit("bad_archive"), F.col("_why"))
+    return good.drop("_why"), bad.drop("_why", "content")
+
+
+def expand_archives(archives: DataFrame) -> DataFrame:
+    """One row per non-empty regular member of every readable zip archive
+    (archive, member name with ``/`` -> ``--``, bytes); per-archive Python
+    inside ``mapInPandas``, archives spread over the cluster."""
+    return expand_archives_checked(archives)[0]
 
 
 def _zip_rows(it):

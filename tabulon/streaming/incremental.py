@@ -18,7 +18,8 @@ from ..operators import tablize as T
 def tablize_landing_folder(spark: SparkSession, landing: str, out: str, checkpoint: str,
                            glob: str = "*", max_files_per_trigger: int | None = None) -> None:
     """Tablize every text file that arrived in ``landing`` since the last
-    run; cells go to ``out/cells``, failures to ``out/errors`` (append)."""
+    run; cells go to ``out/cells``, failures to ``out/errors``, each with a
+    partition column ``epoch`` (the micro-batch)."""
     reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -30,8 +31,9 @@ def tablize_landing_folder(spark: SparkSession, landing: str, out: str, checkpoi
         if df.isEmpty():
             return
         r = T.tablize_delimited(df)
-        r["cells"].write.mode("append").parquet(f"{out}/cells")
-        r["errors"].write.mode("append").parquet(f"{out}/errors")
+        # one folder per micro-batch: a retried batch replaces its own rows
+        for name in ("cells", "errors"):
+            r[name].write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch_id}")
 
     q = (files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
