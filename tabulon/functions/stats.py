@@ -49,18 +49,19 @@ def _partition_offsets(ranged: DataFrame, sums: dict[str, Column]) -> DataFrame:
                                    for k in sums])
 
 
-def global_index(df: DataFrame, order_col: str, out_col: str = "index",
+def global_index(df: DataFrame, order_col: str | list[str], out_col: str = "index",
                  n_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in the order of ``order_col`` (unique),
-    computed without pulling rows into one task: range partitioning, a
-    per-partition count (one row per partition), running offsets, and a
-    per-partition row number.  The partition ids are stored with the rows
-    (see ``_ranged``), so every branch agrees on them."""
+    """0-based position of each row in the order of ``order_col`` (one column
+    or several, unique together), computed without pulling rows into one
+    task: range partitioning, a per-partition count (one row per partition),
+    running offsets, and a per-partition row number.  The partition ids are
+    stored with the rows (see ``_ranged``), so every branch agrees on them."""
     from pyspark.sql.window import Window
 
-    ranged = _ranged(df, [F.col(order_col)], n_partitions)
+    order = [F.col(c) for c in ([order_col] if isinstance(order_col, str) else order_col)]
+    ranged = _ranged(df, order, n_partitions)
     offs = _partition_offsets(ranged, {"n": F.count(F.lit(1))})
-    w = Window.partitionBy("_pid").orderBy(order_col)
+    w = Window.partitionBy("_pid").orderBy(*order)
     return (ranged.join(F.broadcast(offs), "_pid")
             .withColumn(out_col, (F.col("_off_n") + F.row_number().over(w) - 1).cast("long"))
             .drop("_pid", "_off_n"))
@@ -117,6 +118,61 @@ def group_row_number(df: DataFrame, group_cols: list[str], order: list[Column],
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", *group_cols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_pid", *group_cols).orderBy(*order)
-    return (ranged.join(offs, ["_pid", *group_cols])
+    return (join_null_safe(ranged, offs, ["_pid", *group_cols])
             .withColumn(out_col, (F.col("_off") + F.row_number().over(w)).cast("long"))
             .drop("_pid", "_off"))
+
+
+def join_null_safe(df: DataFrame, other: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner join on ``cols`` where NULL equals NULL (groups of a grouped
+    aggregate joined back); the key columns of ``df`` stay."""
+    renamed = other.select(*[F.col(c).alias(f"_eq_{c}") if c in cols else F.col(c) for c in other.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_eq_{c}")) for c in cols]
+    return df.join(renamed, on).drop(*[f"_eq_{c}" for c in cols])
+
+
+def group_prefix_sums(df: DataFrame, group_cols: list[str], order: list[Column], cols: list[str],
+                      n_partitions: int | None = None) -> DataFrame:
+    """Running sums of ``cols`` within each group in ``order`` (rows unique
+    in that order), as ``cum_<col>``; a hot group spans several partitions,
+    each piece starting from the totals of the pieces before it."""
+    from pyspark.sql.window import Window
+
+    ranged = _ranged(df, [*[F.col(c) for c in group_cols], *order], n_partitions)
+    totals = ranged.groupBy("_pid", *group_cols).agg(*[F.sum(c).alias(f"_sum_{c}") for c in cols])
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_pid", *group_cols, *[
+        F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols])
+    w = (Window.partitionBy("_pid", *group_cols).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, 0))
+    out = join_null_safe(ranged, offs, ["_pid", *group_cols])
+    for c in cols:
+        out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(w))
+    return out.drop("_pid", *[f"_off_{c}" for c in cols])
+
+
+def group_quantiles(df: DataFrame, group_cols: list[str], value: Column,
+                    quantiles: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation quantiles per group, one column per name:
+    running counts over the distinct values instead of a buffer with all
+    values of a group.  NULL values do not count; a group without any value
+    keeps its row, with NULLs."""
+    from ..session import cut_lineage
+
+    counted = cut_lineage(df.select(*group_cols, value.cast("double").alias("_v"))
+                          .groupBy(*group_cols, "_v").agg(F.count("_v").alias("_n")))
+    sizes = counted.groupBy(*group_cols).agg(F.sum("_n").alias("_all"))
+    cum = join_null_safe(group_prefix_sums(counted, group_cols, [F.col("_v")], ["_n"]), sizes, group_cols)
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("cum__n") - F.col("_n") <= position) & (position < F.col("cum__n")),
+                            F.col("_v")))
+
+    aggs, out = [], []
+    for name, q in quantiles.items():
+        p = (F.col("_all") - 1) * F.lit(float(q))
+        aggs += [at(F.floor(p)).alias(f"_lo_{name}"), at(F.ceil(p)).alias(f"_hi_{name}"),
+                 F.max(p - F.floor(p)).alias(f"_part_{name}")]
+        lo, hi, part = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_part_{name}")
+        out.append(F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part).alias(name))
+    return cum.groupBy(*group_cols).agg(*aggs).select(*group_cols, *out)

@@ -232,9 +232,12 @@ def stage_counts(log: DataFrame, status_col: str = "status") -> DataFrame:
 def size_by_extension(tables: DataFrame, ext_col: str, rows_col: str, cols_col: str) -> DataFrame:
     """Per extension, number of tables and the quartiles of their row and
     column counts (exact percentiles)."""
-    qs = [0.25, 0.5, 0.75]
-    aggs = [F.count(F.lit(1)).alias("n_tables")]
-    for name, c in (("rows", rows_col), ("cols", cols_col)):
-        for q in qs:
-            aggs.append(F.percentile(F.col(c).cast("double"), q).alias(f"{name}_p{int(q * 100)}"))
-    return tables.groupBy(F.col(ext_col).alias("extension")).agg(*aggs)
+    from ..functions.stats import group_quantiles, join_null_safe
+
+    t = tables.select(F.col(ext_col).alias("extension"), F.col(rows_col).alias("rows"),
+                      F.col(cols_col).alias("cols"))
+    out = t.groupBy("extension").agg(F.count(F.lit(1)).alias("n_tables"))
+    for name in ("rows", "cols"):
+        quartiles = {f"{name}_p{p}": p / 100 for p in (25, 50, 75)}
+        out = join_null_safe(out, group_quantiles(t, ["extension"], F.col(name), quartiles), ["extension"])
+    return out

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.stats import global_index, global_prefix_sums, md5_rank
+from ..functions.stats import (global_index, global_prefix_sums, group_prefix_sums, group_quantiles,
+                               join_null_safe, md5_rank)
 from ..functions.vectors import norm_inf, norm_l1, norm_l2
 
 
@@ -42,11 +42,9 @@ def pr_points(scored: DataFrame, label_col: str = "y", score_col: str = "score",
     group_cols = group_cols or []
     agg = _score_table(scored, label_col, score_col, group_cols)
     if group_cols:
-        w = (Window.partitionBy(*group_cols).orderBy(F.desc("score"))
-             .rowsBetween(Window.unboundedPreceding, 0))
-        cum = agg.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_neg", F.sum("neg").over(w))
+        cum = group_prefix_sums(agg, group_cols, [F.desc("score")], ["pos", "neg"])
         tot = agg.groupBy(*group_cols).agg(F.sum("pos").alias("n_pos"))
-        cum = cum.join(tot, group_cols)
+        cum = join_null_safe(cum, tot, group_cols)
     else:
         cum = global_prefix_sums(agg, [F.desc("score")], ["pos", "neg"])
         n_pos = agg.agg(F.sum("pos").alias("n_pos"))
@@ -92,7 +90,7 @@ def shuffle_labels(scored: DataFrame, id_col: str, label_col: str = "y",
     label of the same position by ``md5(seed|id)``), distributed."""
     by_id = global_index(scored.select(id_col, "score"), id_col, "_pos")
     keyed = scored.select(id_col, label_col, md5_rank(F.lit(seed), F.col(id_col)).alias("_h"))
-    by_hash = global_index(keyed, "_h", "_pos").select("_pos", F.col(label_col).alias("_y"))
+    by_hash = global_index(keyed, ["_h", id_col], "_pos").select("_pos", F.col(label_col).alias("_y"))
     return by_id.join(by_hash, "_pos").select(id_col, "score", F.col("_y").alias(label_col))
 
 
@@ -120,17 +118,17 @@ def _nan_to_null(c: Column) -> Column:
 def summarize_auc(results: DataFrame, group_cols: list[str], auc_col: str = "auc") -> DataFrame:
     """Per setting, nan-mean, sample std (ddof 1), p5 and p95 of AUC."""
     a = _nan_to_null(F.col(auc_col))
-    return results.groupBy(*group_cols).agg(
-        F.avg(a).alias("mean_auc"), F.stddev_samp(a).alias("std_auc"),
-        F.percentile(a, 0.05).alias("p5_auc"), F.percentile(a, 0.95).alias("p95_auc"),
-        F.count(a).alias("n"))
+    moments = results.groupBy(*group_cols).agg(
+        F.avg(a).alias("mean_auc"), F.stddev_samp(a).alias("std_auc"), F.count(a).alias("n"))
+    tails = group_quantiles(results, group_cols, a, {"p5_auc": 0.05, "p95_auc": 0.95})
+    return join_null_safe(moments, tails, group_cols).select(
+        *group_cols, "mean_auc", "std_auc", "p5_auc", "p95_auc", "n")
 
 
 def auc_quartiles(results: DataFrame, by: str, auc_col: str = "auc") -> DataFrame:
     """Min, quartiles and max of AUC per model / topic count / norm."""
-    a = _nan_to_null(F.col(auc_col))
-    qs = [(0.0, "q0"), (0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (1.0, "q100")]
-    return results.groupBy(by).agg(*[F.percentile(a, q).alias(n) for q, n in qs])
+    return group_quantiles(results, [by], _nan_to_null(F.col(auc_col)),
+                           {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0})
 
 
 def mean_auc_pivot(results: DataFrame, index_col: str, pivot_col: str, values: list,

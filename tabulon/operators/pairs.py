@@ -59,11 +59,12 @@ def co_reused_pairs(edges: DataFrame, pages: DataFrame | None = None,
 def choose_test_pages(files: DataFrame, page_col: str, ratio: float, seed: int = 0,
                       fold: int = 0) -> DataFrame:
     """``int(n_pages * ratio)`` pages, the first ones in
-    ``md5(seed|fold|page)`` order (a distributed top-k)."""
+    ``md5(seed|fold|page)`` order, by their position in that order (an
+    ordered limit would merge them in one task)."""
     pages = files.select(F.col(page_col).alias("page")).distinct()
     k = int(scalar(pages, F.count(F.lit(1))) * ratio)
     ranked = pages.withColumn("_h", md5_rank(F.lit(seed), F.lit(fold), F.col("page")))
-    return ranked.orderBy("_h", "page").limit(k).select("page")
+    return global_index(ranked, ["_h", "page"], "_i").filter(F.col("_i") < k).select("page")
 
 
 def train_sample(files: DataFrame, page_col: str, test_pages: DataFrame) -> DataFrame:
@@ -143,7 +144,8 @@ def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page:
             break
     else:
         raise ValueError(f"{found} pairs without a common reuse in {start} draws, {n_needed} needed")
-    return kept.orderBy("t").limit(n_needed).select("x1", "x2", "x", "d", F.lit(0).alias("y"), "t")
+    return (global_index(kept, "t", "_i").filter(F.col("_i") < n_needed)
+            .select("x1", "x2", "x", "d", F.lit(0).alias("y"), "t"))
 
 
 def balanced_dataset(pos: DataFrame, neg: DataFrame, k: int | None = None) -> DataFrame:

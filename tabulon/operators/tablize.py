@@ -38,6 +38,9 @@ DELIMITER_CONSISTENCY = 0.9
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
+#: Share of all lines that must have a table's width, whatever the file's size.
+WIDTH_SHARE = SMALL_FILE_N_COL
+
 INT_RE = r"^\s*[+-]?\d+(_\d+)*\s*$"
 FLOAT_RE = (r"^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][+-]?\d+)?|\d+(_\d+)*\.([eE][+-]?\d+)?"
             r"|[nN][aA][nN]|[iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])\s*$")
@@ -51,8 +54,36 @@ def is_float(c: Column) -> Column:
     return c.rlike(FLOAT_RE)
 
 
-def _count_char(line: Column, ch: str) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(ch), F.lit("")))
+#: A whole quoted field: quotes around it, doubled ones inside.
+QUOTED_RE = r'"[^"]*+(?:""[^"]*+)*+"'
+
+
+def _quoted_fields(line: Column, delim: Column) -> Column:
+    """Fields of a line that holds quotes, as written: a field is quoted when
+    it opens with a quote and the closing one stands before a delimiter or the
+    end of the line; other quotes are plain characters."""
+    d = F.concat(F.lit("\\Q"), delim, F.lit("\\E"))
+    field = F.concat(d, F.lit(f"({QUOTED_RE}(?="), d, F.lit("|\\z)|[^"), d, F.lit("]*+)"))
+    return F.regexp_extract_all(F.concat(delim, line), field, 1)
+
+
+def _unquote(field: Column) -> Column:
+    inner = F.substr(field, F.lit(2), F.length(field) - 2)
+    return F.when(field.rlike(f"\\A{QUOTED_RE}\\z"), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(field)
+
+
+def _n_delimiters(line: Column, delim: Column) -> Column:
+    """Delimiters of a line outside its quoted fields."""
+    plain = F.length(line) - F.length(F.replace(line, delim, F.lit("")))
+    return F.when(F.contains(line, F.lit('"')), F.size(_quoted_fields(line, delim)) - 1).otherwise(plain)
+
+
+def _cells(line: Column, delim: Column) -> Column:
+    """Fields of a line split on a literal (per-row) delimiter, quotes of
+    quoted fields removed."""
+    plain = F.split(line, F.concat(F.lit("\\Q"), delim, F.lit("\\E")), -1)
+    return F.when(F.contains(line, F.lit('"')),
+                  F.transform(_quoted_fields(line, delim), _unquote)).otherwise(plain)
 
 
 def _strip(c: Column) -> Column:
@@ -120,40 +151,41 @@ def sample_lines(lns: DataFrame, seed: int = 0, threshold_n_row: int = THRESHOLD
     return s, per.select("file_id", "n_lines", "threshold")
 
 
-def sniff_delimiter(sample: DataFrame, candidates: list[str] | None = None,
+def sniff_delimiter(lns: DataFrame, candidates: list[str] | None = None,
                     consistency: float = DELIMITER_CONSISTENCY) -> DataFrame:
-    """Delimiter of each file from its sampled lines: for every candidate
-    the modal per-line count (> 0) and its adjusted share
-    (lines at the mode - other lines) / lines; the best share reaching
+    """Delimiter of each file from all its lines: for every candidate
+    the modal per-line count (> 0; quoted fields hold none) and its adjusted
+    share (lines at the mode - other lines) / lines; the best share reaching
     ``consistency`` wins, ties by candidate order.  Files without such a
-    candidate get no row (no table)."""
+    candidate get no row (no table).  ``mode`` is the winner's count and
+    ``agree`` the plain share of lines that have it."""
     candidates = candidates or DELIMITERS
     cand = F.array(*[F.struct(F.lit(i).alias("pref"), F.lit(d).alias("delim"))
                      for i, d in enumerate(candidates)])
-    x = sample.select("file_id", "line", F.explode(cand).alias("c")).select(
-        "file_id", "c.pref", "c.delim",
-        (F.length("line") - F.length(F.expr("replace(line, c.delim, '')"))).alias("cnt"))
+    x = lns.select("file_id", "line", F.explode(cand).alias("c")).select(
+        "file_id", "c.pref", "c.delim", _n_delimiters(F.col("line"), F.col("c.delim")).alias("cnt"))
     freq = x.groupBy("file_id", "pref", "delim", "cnt").agg(F.count(F.lit(1)).alias("f"))
     mode = freq.groupBy("file_id", "pref", "delim").agg(
         F.max(F.struct("f", "cnt")).alias("m"), F.sum("f").alias("n"))
     mode = mode.select("file_id", "pref", "delim", F.col("m.cnt").alias("mode"),
+                       (F.col("m.f") / F.col("n")).alias("agree"),
                        ((2 * F.col("m.f") - F.col("n")) / F.col("n")).alias("share"))
     ok = mode.filter((F.col("mode") > 0) & (F.col("share") >= consistency))
-    best = ok.groupBy("file_id").agg(F.max(F.struct("share", (-F.col("pref")).alias("neg"), "delim"))
-                                     .alias("b"))
-    return best.select("file_id", F.col("b.delim").alias("delimiter"), F.col("b.share").alias("share"))
+    best = ok.groupBy("file_id").agg(F.max(F.struct(
+        "share", (-F.col("pref")).alias("neg"), "delim", "mode", "agree")).alias("b"))
+    return best.select("file_id", F.col("b.delim").alias("delimiter"), F.col("b.share").alias("share"),
+                       F.col("b.mode").alias("mode"), F.col("b.agree").alias("agree"))
 
 
-def infer_width(sample: DataFrame, delims: DataFrame, thresholds: DataFrame) -> DataFrame:
+def infer_width(lns: DataFrame, delims: DataFrame, threshold: float = WIDTH_SHARE) -> DataFrame:
     """n_col = count + 1 for the delimiter count shared by strictly more
-    than the file's threshold of sampled lines (unique: threshold > 0.5)."""
-    x = sample.join(delims.select("file_id", "delimiter"), "file_id").select(
-        "file_id", (F.length("line") - F.length(F.expr("replace(line, delimiter, '')"))).alias("cnt"))
+    than ``threshold`` of a file's lines (unique: threshold > 0.5)."""
+    x = lns.join(delims.select("file_id", "delimiter"), "file_id").select(
+        "file_id", _n_delimiters(F.col("line"), F.col("delimiter")).alias("cnt"))
     freq = x.groupBy("file_id", "cnt").agg(F.count(F.lit(1)).alias("f"))
-    tot = x.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    j = freq.join(tot, "file_id").join(thresholds.select("file_id", "threshold"), "file_id")
-    return j.filter(F.col("f") / F.col("n") > F.col("threshold")).select(
-        "file_id", (F.col("cnt") + 1).alias("n_col"))
+    top = freq.groupBy("file_id").agg(F.max(F.struct("f", "cnt")).alias("m"), F.sum("f").alias("n"))
+    return top.filter(F.col("m.f") / F.col("n") > threshold).select(
+        "file_id", (F.col("m.cnt") + 1).alias("n_col"))
 
 
 def split_content_extradata(lns: DataFrame, shape: DataFrame):
@@ -161,7 +193,7 @@ def split_content_extradata(lns: DataFrame, shape: DataFrame):
     from 0 among content lines); the other lines, joined with spaces in file
     order, are the file's extradata.  Returns (content, extradata)."""
     j = lns.join(shape.select("file_id", "delimiter", "n_col"), "file_id")
-    nf = F.length("line") - F.length(F.expr("replace(line, delimiter, '')")) + 1
+    nf = _n_delimiters(F.col("line"), F.col("delimiter")) + 1
     j = j.withColumn("_good", nf == F.col("n_col"))
     w = Window.partitionBy("file_id").orderBy("line_no")
     content = (j.filter("_good").withColumn("gidx", (F.row_number().over(w) - 1).cast("long"))
@@ -174,11 +206,6 @@ def split_content_extradata(lns: DataFrame, shape: DataFrame):
     return content, extradata
 
 
-def _cells(line: Column, delim: Column) -> Column:
-    """Fields of a line split on a literal (per-row) delimiter."""
-    return F.split(line, F.concat(F.lit("\\Q"), delim, F.lit("\\E")), -1)
-
-
 def header_vote(content: DataFrame, check_header: int = CHECK_HEADER) -> DataFrame:
     """Score of each candidate header row r < min(check_header,
     n_content // 2): over the next nine rows each column is typed
@@ -191,8 +218,9 @@ def header_vote(content: DataFrame, check_header: int = CHECK_HEADER) -> DataFra
             .filter(F.col("gidx") < F.least(F.lit(check_header), F.floor(F.col("n_good") / 2)))
             .select("file_id", F.col("gidx").alias("r"),
                     _cells(_strip(F.col("line")), F.col("delimiter")).alias("hcells"), "n_col"))
-    follow = content.select("file_id", F.col("gidx").alias("g"),
-                            _cells(_strip(F.col("line")), F.col("delimiter")).alias("cells"))
+    # no candidate looks further than nine rows ahead
+    follow = content.filter(F.col("gidx") < check_header + 9).select(
+        "file_id", F.col("gidx").alias("g"), _cells(_strip(F.col("line")), F.col("delimiter")).alias("cells"))
     j = cand.join(follow, "file_id").filter((F.col("g") > F.col("r")) & (F.col("g") <= F.col("r") + 9))
     ex = j.select("file_id", "r", "n_col", "hcells",
                   F.explode(F.sequence(F.lit(0), F.col("n_col") - 1)).alias("col"), "cells")
@@ -300,9 +328,11 @@ def cleaning_log_record(profile: DataFrame, headers: DataFrame, extradata: DataF
         F.col("zipfile").cast("boolean").alias("zipfile"))
 
 
-def tablize_delimited(files: DataFrame, seed: int = 0, id_col: str = "file_id",
+def tablize_delimited(files: DataFrame, id_col: str = "file_id",
                       text_col: str = "text") -> dict[str, DataFrame]:
-    """T7 → T13, T15, T16 end to end over a corpus of text files.
+    """T8 → T13, T15, T16 end to end over a corpus of text files; all
+    lines of a file decide its delimiter and, by the same counts, its width.
+    A quoted field must end on its line.
 
     Returns ``cells`` (file_id, row, col, col_name, value), ``profile``,
     ``headers``, ``extradata`` and ``errors`` (file_id, error_type) for the
@@ -310,11 +340,10 @@ def tablize_delimited(files: DataFrame, seed: int = 0, id_col: str = "file_id",
     from ..session import cut_lineage
 
     lns = lines(files, id_col, text_col)
-    sample, per = sample_lines(lns, seed)
-    delims = sniff_delimiter(sample)
-    widths = infer_width(sample, delims, per)
     # stage boundaries: each of these feeds several branches below
-    shape = cut_lineage(delims.join(widths, "file_id"))
+    delims = cut_lineage(sniff_delimiter(lns))
+    shape = delims.filter(F.col("agree") > WIDTH_SHARE).select(
+        "file_id", "delimiter", "share", (F.col("mode") + 1).alias("n_col"))
     content, extradata = split_content_extradata(lns, shape)
     content = cut_lineage(content)
     extradata = cut_lineage(extradata)

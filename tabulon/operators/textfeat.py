@@ -31,9 +31,9 @@ def text_part_content(text: Column, header_rows: Column | int = 1) -> Column:
     """file text without its header row(s) (the header row count, not
     the number of columns, is skipped)."""
     n = header_rows if isinstance(header_rows, Column) else F.lit(header_rows)
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    rest = F.slice(lines, n + 1, F.greatest(F.size(lines) - n, F.lit(0)))
-    return F.when(F.size(lines) > n, F.array_join(rest, "\n")).otherwise(F.lit(""))
+    text = F.coalesce(text, F.lit(""))
+    head = F.call_function("substring_index", text, F.lit("\n"), n)
+    return F.when(n > 0, F.substr(text, F.length(head) + 2)).otherwise(text)
 
 
 def text_part_extradata(extradata: Column) -> Column:
@@ -175,36 +175,46 @@ def mix_parts(matrices: dict[str, DataFrame], weights: dict[str, float] | None =
         frames.append(matrices[name].select(
             "doc_id", "term", mixed.alias("value"),
             F.lit(PART_ORDER.index(name)).alias("part_rank")))
-    union = reduce(DataFrame.unionByName, frames)
-    first = union.groupBy("term").agg(F.min("part_rank").alias("first_part"))
+    from ..session import cut_lineage
+
+    union = cut_lineage(reduce(DataFrame.unionByName, frames))
+    first =union.groupBy("term").agg(F.min("part_rank").alias("first_part"))
     summed = union.groupBy("doc_id", "term").agg(F.sum("value").alias("value"))
     return summed.join(first, "term")
 
 
-def stem_merge(matrix: DataFrame, representative: str = "first") -> DataFrame:
-    """Sum the columns sharing a (light French) stem; label each
-    stem by a representative word.
+def stemmed_vocabulary(matrix: DataFrame) -> DataFrame:
+    """(term, first_part, total, stem) of every word, as a stage table: the
+    stemmer runs once per distinct word."""
+    from ..session import cut_lineage
 
-    ``representative='first'`` (F14): first word of the stem in feature
-    order (part rank, then alphabetical index); ``'heaviest'`` (F15): the word
-    of largest total weight, first in feature order on ties.
-    """
     if "first_part" not in matrix.columns:
         matrix = matrix.withColumn("first_part", F.lit(0))
-    # the stemmer runs once per distinct word; the (word, stem) table is a
-    # vocabulary-sized join (broadcast by AQE while it is small)
-    per_term = matrix.groupBy("term", "first_part").agg(F.sum("value").alias("total"))
-    per_term = per_term.withColumn("stem", light_french_stem_expr("term"))
-    if representative == "first":
-        key = F.struct("first_part", "term")
-    elif representative == "heaviest":
-        key = F.struct((-F.col("total")).alias("neg_total"), "first_part", "term")
-    else:
-        raise ValueError(f"unknown representative rule {representative!r}")
-    rep = per_term.groupBy("stem").agg(F.min(key)["term"].alias("word"))
-    stemmed = matrix.join(per_term.select("term", "stem"), "term")
-    summed = stemmed.groupBy("doc_id", "stem").agg(F.sum("value").alias("value"))
-    return summed.join(rep, "stem").select("doc_id", F.col("word").alias("term"), "value")
+    per_term = matrix.groupBy("term").agg(F.min("first_part").alias("first_part"),
+                                          F.sum("value").alias("total"))
+    return cut_lineage(per_term.withColumn("stem", light_french_stem_expr("term")))
+
+
+def representatives(vocabulary: DataFrame, rule: str = "first") -> DataFrame:
+    """(stem, word): ``first`` (F14) takes the first word of a stem in feature
+    order (part rank, then alphabetical index), ``heaviest`` (F15) the word of
+    largest total weight, first in feature order on ties."""
+    keys = {"first": F.struct("first_part", "term"),
+            "heaviest": F.struct((-F.col("total")).alias("neg_total"), "first_part", "term")}
+    if rule not in keys:
+        raise ValueError(f"unknown representative rule {rule!r}")
+    return vocabulary.groupBy("stem").agg(F.min(keys[rule])["term"].alias("word"))
+
+
+def stem_merge(matrix: DataFrame, representative: str = "first") -> DataFrame:
+    """Sum the columns sharing a (light French) stem; label each
+    stem by a representative word.  A row's ``first_part`` may be the part it
+    comes from: rows of several parts are summed as well.  The word table is
+    vocabulary-sized (broadcast by AQE while it is small)."""
+    words = stemmed_vocabulary(matrix)
+    words = words.join(representatives(words, representative), "stem").select("term", "word")
+    return (matrix.join(words, "term").groupBy("doc_id", "word").agg(F.sum("value").alias("value"))
+            .select("doc_id", F.col("word").alias("term"), "value"))
 
 
 def tfidf(matrix: DataFrame, n_docs: int, value_col: str = "value",
@@ -245,22 +255,45 @@ def extract_features(parts: DataFrame, content: bool = True, header: bool = Fals
     """parts → per-part counts (df filter, normalisation) → mix → stem
     merge → TF-IDF, as (doc_id, term, weight).
 
-    Each selected part is counted on its own; the allowed flag combinations
-    are those of :func:`select_text`.
+    Each selected part is counted on its own, all of them in one table keyed
+    by the part, read once each for the document frequencies, the row sums and
+    the mixed values; mixing and stemming are one sum per (doc, word).  The
+    allowed flag combinations are those of :func:`select_text`.
     """
+    from ..session import cut_lineage
+
     select_text(parts, content, header, extradata, id_col)  # validates the flags
+    if mode not in ("linear", "power"):
+        raise ValueError(f"unknown mixing mode {mode!r}")
     n = n_documents(parts)
     chosen = [p for p, on in (("content", content), ("header", header),
                               ("extradata", extradata)) if on]
-    matrices = {}
-    from ..session import cut_lineage
-
-    for name in chosen:
-        texts = parts.select(F.col(id_col).alias("doc_id"),
-                             F.coalesce(F.col(name), F.lit("")).alias("text"))
-        matrices[name] = count_part(texts, n, min_df, max_df, strip_stopwords)
-    mixed = mix_parts(matrices, mode=mode)
-    merged = stem_merge(mixed, representative) if stem else mixed.select("doc_id", "term", "value")
+    texts = F.explode(F.array(*[F.struct(
+        F.lit(PART_ORDER.index(p)).alias("part"), F.lit(PART_WEIGHTS[p]).alias("share"),
+        F.coalesce(F.col(p), F.lit("")).alias("text")) for p in chosen]))
+    tokens = (spread(parts).select(F.col(id_col).alias("doc_id"), texts.alias("p"))
+              .select("doc_id", "p.part", "p.share",
+                      F.explode(token_array(F.col("p.text"), stopwords(strip_stopwords))).alias("term")))
+    counts = cut_lineage(tokens.groupBy("part", "doc_id", "term").agg(
+        F.count(F.lit(1)).alias("count"), F.first("share").alias("share")))
+
+    max_count = max_df * n if isinstance(max_df, float) else max_df
+    keep = (counts.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"))
+            .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_count))).select("part", "term"))
+    kept = counts.join(keep, ["part", "term"])
+    sums = kept.groupBy("part", "doc_id").agg(F.sum("count").cast("double").alias("row_sum"))
+    means = sums.groupBy("part").agg((F.sum("row_sum") / F.lit(float(n) if n else 1.0)).alias("mean"))
+    # one row per part: a bounded broadcast
+    rows = sums.join(F.broadcast(means), "part").select(
+        "part", "doc_id", (F.col("mean") / F.col("row_sum")).alias("weight"))
+    value = F.col("count") * F.col("weight")
+    mixed = value * F.col("share") if mode == "linear" else F.pow(value, F.col("share"))
+    values = cut_lineage(kept.join(rows, ["part", "doc_id"]).select(
+        "doc_id", "term", mixed.alias("value"), F.col("part").alias("first_part")))
+    if stem:
+        merged = stem_merge(values, representative)
+    else:
+        merged = values.groupBy("doc_id", "term").agg(F.sum("value").alias("value"))
     return tfidf(cut_lineage(merged), n)
 
 

@@ -108,3 +108,12 @@ def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = _text_files(table(spark, sf_dir, "customer"), "c_custkey", CUSTOMER_COLS, ",",
                        CUSTOMER_ROWS_PER_FILE, "cust-", "# customer batch", "c_comment")
     return part.unionByName(cust)
+
+
+def quoted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part files with every fourth name quoted: it holds the delimiter
+    and, doubled, the quotes around its brand."""
+    part = table(spark, sf_dir, "part")
+    quoted = F.concat(F.lit('"'), F.col("p_name"), F.lit('; said ""'), F.col("p_brand"), F.lit('"""'))
+    part = part.withColumn("p_name", F.when(F.col("p_partkey") % 4 == 0, quoted).otherwise(F.col("p_name")))
+    return _text_files(part, "p_partkey", PART_COLS, ";", PART_ROWS_PER_FILE, "part-", "# part batch")

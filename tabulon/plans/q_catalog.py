@@ -112,18 +112,18 @@ def q_project_page_reuse(spark, sf):
                                  "l_returnflag", "l_linestatus"])
 
 
-def _returned_bridge(spark, sf):
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R")
+def _page_reuses(spark, sf):
+    li = table(spark, sf, "lineitem")
     return li.select(F.col("l_partkey").alias("page"), F.col("l_orderkey").cast("string").alias("reuse"))
 
 
 def q_reuses_per_page(spark, sf):
-    return C.reuses_per_page(_returned_bridge(spark, sf), "page", "reuse")
+    return C.reuses_per_page(_page_reuses(spark, sf), "page", "reuse")
 
 
 def q_attach_reuses(spark, sf):
     files = table(spark, sf, "part").select(F.col("p_partkey").alias("page"), "p_name")
-    return C.attach_reuses(files, C.reuses_per_page(_returned_bridge(spark, sf), "page", "reuse"), "page")
+    return C.attach_reuses(files, C.reuses_per_page(_page_reuses(spark, sf), "page", "reuse"), "page")
 
 
 def _events_files(spark, sf):
@@ -304,10 +304,10 @@ ORACLE = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "project_page_reuse": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem""",
     "reuses_per_page": """SELECT page, array_to_string(list_sort(list(reuse)), ' ') AS reuses, count(*) AS n_reuses
-        FROM (SELECT DISTINCT l_partkey AS page, CAST(l_orderkey AS VARCHAR) AS reuse FROM lineitem WHERE l_returnflag = 'R')
+        FROM (SELECT DISTINCT l_partkey AS page, CAST(l_orderkey AS VARCHAR) AS reuse FROM lineitem)
         GROUP BY page""",
     "attach_reuses": """WITH r AS (SELECT page, array_to_string(list_sort(list(reuse)), ' ') AS reuses, count(*) AS n_reuses
-        FROM (SELECT DISTINCT l_partkey AS page, CAST(l_orderkey AS VARCHAR) AS reuse FROM lineitem WHERE l_returnflag = 'R')
+        FROM (SELECT DISTINCT l_partkey AS page, CAST(l_orderkey AS VARCHAR) AS reuse FROM lineitem)
         GROUP BY page)
         SELECT p_partkey AS page, p_name, coalesce(reuses, '') AS reuses, coalesce(n_reuses, 0) AS n_reuses
         FROM part LEFT JOIN r ON p_partkey = page""",

@@ -144,8 +144,8 @@ LOG_FIELDS = ["source_file", "file_name", "matrix_name", "zipfile", "extension"]
 
 
 def q_parse_line_logs(spark, sf):
-    e = table(spark, sf, "events").filter(F.col("event_type") == "error")
-    text = F.concat_ws("\n", F.lit("#" * 20), F.col("user_id").cast("string"),
+    e = table(spark, sf, "events")
+    text =F.concat_ws("\n", F.lit("#" * 20), F.col("user_id").cast("string"),
                        F.concat(F.col("event_id").cast("string"), F.lit(".csv")),
                        F.concat(F.col("event_id").cast("string"), F.lit("--m")), F.lit("False"),
                        F.lit("text/plain"), F.concat(F.lit("ValueError: value "), F.col("value").cast("string")),
@@ -394,7 +394,7 @@ ORACLE = {
         UNION ALL SELECT 'geo', event_id, 'geojson' FROM events WHERE event_type = 'purchase'""",
     "parse_line_logs": """SELECT CAST(user_id AS VARCHAR) AS source_file, CAST(event_id AS VARCHAR) || '.csv' AS file_name,
         CAST(event_id AS VARCHAR) || '--m' AS matrix_name, 'False' AS zipfile, 'text/plain' AS extension,
-        'ValueError:' AS error_type, props AS content FROM events WHERE event_type = 'error'""",
+        'ValueError:' AS error_type, props AS content FROM events""",
     "error_quarantine": """SELECT event_id, CASE WHEN event_type = 'error' THEN 'quarantine' ELSE 'ok' END AS status,
         CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
         CASE WHEN event_type = 'error' THEN 'malformed_json' END AS error_type FROM events""",

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.stats import md5_rank_sql
 from ..operators import tablize as T
 from .fixtures import (CUSTOMER_COLS, CUSTOMER_ROWS_PER_FILE, PART_COLS, PART_ROWS_PER_FILE,
-                       delimited_files, table)
+                       delimited_files, quoted_files, table)
 
 R = 6
 SEED = 0
 
 
 def _run(spark, sf):
-    return T.tablize_delimited(delimited_files(spark, sf), SEED)
+    return T.tablize_delimited(delimited_files(spark, sf))
 
 
 def _lines(spark, sf):
@@ -44,13 +44,12 @@ def q_sample_lines(spark, sf):
 
 
 def q_sniff_delimiter(spark, sf):
-    s, _ = T.sample_lines(_lines(spark, sf), SEED)
-    return T.sniff_delimiter(s).select("file_id", "delimiter", F.round("share", R).alias("share"))
+    return T.sniff_delimiter(_lines(spark, sf)).select("file_id", "delimiter", F.round("share", R).alias("share"))
 
 
 def q_infer_width(spark, sf):
-    s, per = T.sample_lines(_lines(spark, sf), SEED)
-    return T.infer_width(s, T.sniff_delimiter(s), per)
+    lns = _lines(spark, sf)
+    return T.infer_width(lns, T.sniff_delimiter(lns))
 
 
 def q_split_content_extradata(spark, sf):
@@ -87,7 +86,7 @@ def q_table_shape_profile(spark, sf):
 
 def q_cleaning_log_record(spark, sf):
     files = delimited_files(spark, sf)
-    r = T.tablize_delimited(files, SEED)
+    r = T.tablize_delimited(files)
     meta = files.select("file_id", F.concat("file_id", F.lit(".csv")).alias("file_name"),
                         F.substring_index("file_id", "-", 1).alias("source_file"),
                         F.lit("text/plain").alias("extension"), F.lit(False).alias("zipfile"))
@@ -97,7 +96,14 @@ def q_cleaning_log_record(spark, sf):
 
 def q_stage_counts(spark, sf):
     files = delimited_files(spark, sf)
-    return T.stage_counts(files, T.tablize_delimited(files, SEED))
+    return T.stage_counts(files, T.tablize_delimited(files))
+
+
+def q_tablize_quoted(spark, sf):
+    """T13 with quoted fields: a quarter of the names hold the delimiter and
+    doubled quotes."""
+    cells = T.tablize_delimited(quoted_files(spark, sf))["cells"]
+    return cells.select("file_id", "row", "col_name", "value")
 
 
 def q_incremental_tablize(spark, sf):
@@ -125,6 +131,7 @@ QUERIES = {
     "search_header": q_search_header,
     "build_table": q_build_table,
     "tablize_delimited": q_tablize_delimited,
+    "tablize_quoted": q_tablize_quoted,
     "drop_empty_columns": q_drop_empty_columns,
     "table_shape_profile": q_table_shape_profile,
     "cleaning_log_record": q_cleaning_log_record,
@@ -161,16 +168,16 @@ smp AS (SELECT file_id, line_no, line FROM (
           SELECT l.*, p.size, row_number() OVER (PARTITION BY l.file_id ORDER BY {md5_rank_sql(str(SEED), 'l.file_id', 'l.line_no')}, l.line_no) AS rn
           FROM lns l JOIN per p USING (file_id)) WHERE rn <= size),
 cand AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{d}')" for i, d in enumerate(T.DELIMITERS) if d != chr(9))}, ({T.DELIMITERS.index(chr(9))}, chr(9))) c(pref, delim)),
-cnts AS (SELECT file_id, pref, delim, length(line) - length(replace(line, delim, '')) AS cnt FROM smp, cand),
+cnts AS (SELECT file_id, pref, delim, length(line) - length(replace(line, delim, '')) AS cnt FROM lns, cand),
 freq AS (SELECT file_id, pref, delim, cnt, count(*) AS f FROM cnts GROUP BY ALL),
 md AS (SELECT file_id, pref, delim, arg_max(cnt, f * 1000000 + cnt) AS mode, max(f) AS f, sum(f) AS n FROM freq GROUP BY ALL),
 dl AS (SELECT file_id, first(delim ORDER BY share DESC, pref) AS delimiter, max(share) AS share FROM (
          SELECT *, (2 * f - n) / n AS share FROM md WHERE mode > 0 AND (2 * f - n) / n >= {T.DELIMITER_CONSISTENCY})
        GROUP BY file_id),
-wc AS (SELECT s.file_id, length(line) - length(replace(line, delimiter, '')) AS cnt FROM smp s JOIN dl USING (file_id)),
+wc AS (SELECT s.file_id, length(line) - length(replace(line, delimiter, '')) AS cnt FROM lns s JOIN dl USING (file_id)),
 wd AS (SELECT file_id, cnt + 1 AS n_col FROM (
          SELECT file_id, cnt, count(*) AS f, sum(count(*)) OVER (PARTITION BY file_id) AS n FROM wc GROUP BY file_id, cnt)
-       JOIN per USING (file_id) WHERE f / n > threshold),
+       WHERE f / n > {T.WIDTH_SHARE}),
 shp AS (SELECT * FROM dl JOIN wd USING (file_id)),
 lj AS (SELECT l.*, s.delimiter, s.n_col, length(line) - length(replace(line, s.delimiter, '')) + 1 = s.n_col AS good
        FROM lns l JOIN shp s USING (file_id)),
@@ -249,6 +256,11 @@ ORACLE = {
         UNION ALL SELECT file_id, row, 5, 'c_comment', NULL FROM orig WHERE col = 0 AND file_id LIKE 'cust-%'""",
     "drop_empty_columns": f"WITH {ORIG} SELECT file_id, row, col, col_name, value FROM orig",
     "tablize_delimited": f"WITH {ORIG} SELECT file_id, row, col_name, value FROM orig",
+    "tablize_quoted": f"""SELECT file_id, row, col_name, CASE WHEN col = 1 AND k % 4 = 0
+            THEN value || '; said "' || brand || '"' ELSE value END AS value
+        FROM (SELECT *, max(CASE WHEN col = 0 THEN CAST(value AS BIGINT) END) OVER (PARTITION BY file_id, row) AS k,
+                     max(CASE WHEN col = 2 THEN value END) OVER (PARTITION BY file_id, row) AS brand
+              FROM {_orig_cells('part', 'p_partkey', PART_COLS, PART_ROWS_PER_FILE, 'part-')})""",
     "incremental_tablize": f"WITH {ORIG} SELECT file_id, row, col_name, value FROM orig",
     "table_shape_profile": f"""WITH {ORIG},
         pc AS (SELECT file_id, col, count(*) AS n, count(value) AS n_present,

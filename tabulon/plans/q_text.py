@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import light_french_stem_expr, stopwords, token_array
+from ..functions.text import stopwords, token_array
 from ..operators import textfeat as tf
 from .fixtures import conversation_parts, document_parts, table
 
@@ -102,8 +102,7 @@ def q_stem_merge(spark, sf):
 
 
 def q_unstem_first(spark, sf):
-    m = _stem_input(spark, sf).withColumn("stem", light_french_stem_expr("term"))
-    return m.groupBy("stem").agg(F.min("term").alias("word"))
+    return tf.representatives(tf.stemmed_vocabulary(_stem_input(spark, sf)), "first")
 
 
 def q_unstem_heaviest(spark, sf):

@@ -46,7 +46,7 @@ def _pairs(spark, sf):
 
 
 def q_nmf_fit(spark, sf):
-    W, H, obj = T.nmf_fit(_tfidf_long(spark, sf), k=5, n_iter=8, seed=SEED,
+    W, H, obj = T.nmf_fit(_tfidf_long(spark, sf), k=5, n_iter=20, seed=SEED,
                           row="doc_id", col="term", value="weight", track_objective=False)
     return W.select("doc_id", F.col("topic").cast("long").alias("topic"), F.round("w", R).alias("w"))
 
