@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
+Every distinct vector is indexed once, with the k + 1 smallest vec_ids that hold
+it; more of them cannot be among the k best of a query, its own left out.  Equal
+query vectors are searched once, and the queries take their own ids out at the end.
 Each of ``CURVES`` curves projects the vectors onto ``DIMS`` random directions,
 shifts them at random and orders them by their Hilbert key.  The order is
 range-partitioned in Spark and cut into blocks of ``BLOCK`` rows; a query
-visits the blocks that its window (``SHARE`` of all rows around its own place,
+visits the blocks that its window (``SHARE`` of all vectors around its own place,
 ``LEAST`` at least) touches, is scored there exactly on the original vectors,
 and the best of all curves are merged.  The query's own blocks come first:
 their k-th best score bounds what the other blocks need to hand on.  Directions, shifts and scales depend
 on the seed and on a bounded sample only (the ``SAMPLE`` vectors first by a
-hash of their id, for the scales); every row is indexed.
+hash of their smallest id, for the scales); every vector is indexed.  Vectors with
+equal keys lie in another order on each curve.
 
 The window is a share, not a number, of the rows because vectors without
 low-dimensional structure need it to keep their recall: on the given
@@ -89,29 +93,54 @@ def _curve(width: int, c: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_best(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of a block for each query (id, q, least), own ids left
-    out, scores of ``least`` or more only."""
-    out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+    """The k best distinct vec_ids of a block (v, ids) for each query vector
+    (g, q, least), scores of ``least`` or more only.  Every vector at or above
+    the score with which k distinct vec_ids are reached is scored again and
+    ordered with its ties; none is picked by its place."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     if len(rows) and len(asked):
-        rows = rows.sort_values("vec_id", kind="stable")
         x = matrix(rows["v"])
         q = matrix(asked["q"], x.shape[1])
         x = np.pad(x, ((0, 0), (0, q.shape[1] - x.shape[1])))
-        ids = rows["vec_id"].to_numpy()
+        n = len(x)
+        ids = np.concatenate([np.asarray(i, np.int64) for i in rows["ids"]])
+        of = np.repeat(np.arange(n), [len(i) for i in rows["ids"]])
+        longest = np.linalg.norm(x, axis=1).max()
         for lo in range(0, len(q), 256):
-            near = q[lo:lo + 256] @ x.T
-            own = asked["id"].to_numpy()[lo:lo + 256]
-            least = asked["least"].to_numpy()[lo:lo + 256]
-            near[own[:, None] == ids[None]] = -np.inf
-            few = min(2 * k, len(ids))
-            best = np.argpartition(-near, few - 1, axis=1)[:, :few]
-            for i, at in enumerate(best):
-                at = np.sort(at[ids[at] != own[i]])
-                score = (x[at] * q[lo + i]).sum(axis=1)
-                at, score = at[score >= least[i]], score[score >= least[i]]
-                first = np.lexsort((ids[at], -score))[:k]
-                out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[at[first]], "score": score[first]}))
-    return pd.concat(out)
+            some = q[lo:lo + 256]
+            near = some @ x.T
+            # the product rounds otherwise than the sum below
+            slack = 4 * x.shape[1] * np.finfo(float).eps * longest * np.linalg.norm(some, axis=1)
+            bars = np.partition(near, max(0, n - k), axis=1)[:, max(0, n - k)]
+            least, groups = asked["least"].to_numpy()[lo:lo + 256], asked["g"].to_numpy()[lo:lo + 256]
+            for i, bar in enumerate(bars):
+                few = k
+                while few < n and bar > least[i] and len(np.unique(ids[(near[i] >= bar)[of]])) < k:
+                    few *= 2  # one vec_id with many vectors counts once
+                    bar = np.partition(near[i], n - few)[n - few] if few < n else -np.inf
+                hit = ~(near[i] < max(bar, least[i]) - slack[i])
+                at = np.flatnonzero(hit)
+                score = np.full(n, -np.inf)
+                score[at] = (x[at] * some[i]).sum(axis=1)
+                entry = np.flatnonzero(hit[of])
+                entry = entry[score[of[entry]] >= least[i]]
+                entry = entry[np.lexsort((ids[entry], -score[of[entry]]))]
+                entry = entry[np.sort(np.unique(ids[entry], return_index=True)[1])[:k]]
+                out.append((np.full(len(entry), groups[i]), ids[entry], score[of[entry]]))
+    return pd.DataFrame(dict(zip(("g", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+
+
+def distinct_vectors(rows: DataFrame, width: int, k: int) -> DataFrame:
+    """(g, v, ids): every distinct vector of ``rows`` (vec_id, v) once, padded
+    with zeros, with its k smallest distinct vec_ids.  Smallest ids are found
+    per salt first, so that a vector of many rows is not one task's work."""
+    full = F.transform(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))),
+                       lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+    pairs = rows.select("vec_id", full.alias("v")).distinct().withColumn("salt", F.expr("pmod(xxhash64(vec_id), 32)"))
+    by = Window.partitionBy("v", "salt").orderBy("vec_id")
+    some = pairs.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)
+    ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k)
+    return stage(some.groupBy("v").agg(ids.alias("ids")).withColumn("g", F.monotonically_increasing_id()))
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = CURVES,
@@ -127,9 +156,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int
                                      F.col("embedding").cast("array<double>").alias("v"))
 
     rows = stage(whole(vectors))
-    asked = whole(queries).select("vec_id").distinct()
-    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0]
+    apart = distinct_vectors(rows, width, k + 1)
+    n = apart.count()
+    padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")))
+    of = stage(rows.join(whole(queries).select("vec_id").distinct(), "vec_id", "left_semi")
+               .select(F.col("vec_id").alias("query_id"), padded.alias("v")).distinct()
+               .join(apart.select("g", "v"), "v").select("query_id", "g"))
+    asked = of.select("g").distinct()
+    some = apart.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0], "v").limit(SAMPLE).toPandas()
     fitted = matrix(some["v"], width)
     scale = np.array([np.maximum(1e-12, (fitted @ _curve(width, c, 11)[0]).std(axis=0)) if len(fitted) else np.ones(DIMS)
                       for c in range(curves)])
@@ -139,29 +174,33 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int
             for lo in range(0, len(part), 4096):
                 some = part.iloc[lo:lo + 4096]
                 for c, keys in enumerate(curve_keys(matrix(some["v"], width), scale, curves)):
-                    yield pd.DataFrame({"curve": c, "key": keys, "vec_id": some["vec_id"], "v": some["v"]})
+                    yield pd.DataFrame({"curve": c, "key": keys, "g": some["g"], "v": some["v"], "ids": some["ids"]})
 
-    ordered = rows.mapInPandas(keyed, "curve int, key long, vec_id long, v array<double>")
-    ordered = group_row_number(ordered, ["curve"], [F.col("key"), F.col("vec_id"), F.xxhash64("v")], "at")
+    ordered = apart.mapInPandas(keyed, "curve int, key long, g long, v array<double>, ids array<long>")
+    # equal keys lie in another order on each curve
+    ordered = group_row_number(ordered, ["curve"], [F.col("key"), F.xxhash64("curve", "v"), F.col("g")], "at")
     ordered = stage(ordered.withColumn("block", F.expr(f"(at - 1) div {BLOCK}")))
     half = max(LEAST, int(np.ceil(share * n))) // 2
     last = max(0, (n - 1) // BLOCK)
     near = F.expr(f"sequence(greatest(0L, (at - 1 - {half}) div {BLOCK}), least({last}L, (at - 1 + {half}) div {BLOCK}))")
-    visits = ordered.join(asked, "vec_id", "left_semi").select(
+    visits = ordered.join(asked, "g", "left_semi").select(
         F.col("curve").alias("on_curve"), F.explode(near).alias("in_block"), F.col("block").alias("home"),
-        F.col("vec_id").alias("id"), F.col("v").alias("q"))
+        F.col("g").alias("g"), F.col("v").alias("q"))
 
     def scored(some: DataFrame) -> DataFrame:
         return (ordered.groupBy("curve", "block").cogroup(some.groupBy("on_curve", "in_block"))
-                .applyInPandas(lambda a, b: block_best(a, b, k), "query_id long, vec_id long, score double"))
+                .applyInPandas(lambda a, b: block_best(a, b, k + 1), "g long, vec_id long, score double"))
 
-    def ranked(found: DataFrame) -> DataFrame:
-        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    def ranked(found: DataFrame, of: str, k: int) -> DataFrame:
+        best = found.groupBy(of, "vec_id").agg(F.max("score").alias("score"))
+        by = Window.partitionBy(of).orderBy(F.desc("score"), "vec_id")
         return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
     none = F.lit(float("-inf"))
-    first = stage(ranked(scored(visits.where("in_block = home").withColumn("least", none))))
-    bound = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    rest = visits.where("in_block <> home").join(bound, "id", "left").withColumn("least", F.coalesce("least", none))
-    return ranked(first.drop("rank").union(scored(rest))).select("query_id", "rank", "vec_id", "score")
+    first = stage(ranked(scored(visits.where("in_block = home").withColumn("least", none)), "g", k + 1))
+    bound = first.where(F.col("rank") == k + 1).select("g", F.col("score").alias("least"))
+    rest = visits.where("in_block <> home").join(bound, "g", "left").withColumn("least", F.coalesce("least", none))
+    best = ranked(first.drop("rank").union(scored(rest)), "g", k + 1)
+    best = best.groupBy("g").agg(F.collect_list(F.struct("vec_id", "score")).alias("best"))
+    found = of.join(best, "g").select("query_id", F.inline("best")).where("vec_id <> query_id")
+    return ranked(found, "query_id", k).select("query_id", "rank", "vec_id", "score")
