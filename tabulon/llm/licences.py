@@ -1,10 +1,9 @@
 """Licence scan: sparse TF-IDF cosine of statements and licence files to
 templates, then inheritance from the nearest ancestor directory.
 
-Words are lower-cased runs of letters and digits; their space is the
-vocabulary of the templates, weighted by ln((1 + files) / (1 + files with the
-word)) + 1 over all files; other words count with the weight of a word that
-no file holds, so they only lengthen a vector.  The units compared are the
+Words are lower-cased runs of letters and digits, each weighted by
+ln((1 + files) / (1 + files with the word)) + 1 over all files; words outside
+the templates only lengthen a vector, common ones by little.  The units compared are the
 sentences of every line of the whole text, and the whole text of files with a
 licence file's name.  A unit without a template's telling words (its heaviest,
 without which the cosine stays below the threshold) cannot reach it, so only
@@ -51,6 +50,8 @@ TEMPLATES = [
 #: End of fixed values.
 LICENCE_NAMES = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
 THRESHOLD = 0.8
+#: Weighted words that may be broadcast.
+WORDS_AT_MOST = 200_000
 
 
 def _words(c: Column) -> Column:
@@ -70,13 +71,11 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
                          F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     files = files.withColumn("file", F.xxhash64("id", "path", "text"))
     terms = sorted({w for _, text in templates for w in _plain(text)})
-    literal = F.array(*map(F.lit, terms))
-    held = stage(files.select("file", F.array_intersect(_words(F.col("text")), literal).alias("held")))
-    n = held.count()
-    seen = {r["w"]: r["n"] for r in held.select(F.explode("held").alias("w")).groupBy("w")
-            .agg(F.count("*").alias("n")).collect()}  # at most one row per template word
-    idf = {w: math.log((1 + n) / (1 + seen.get(w, 0))) + 1 for w in terms}
-    strange = math.log(1 + n) + 1
+    n = files.count()
+    seen = stage(files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("w"))
+                 .groupBy("w").agg(F.count("*").alias("n")))
+    few = {r["w"]: r["n"] for r in seen.where(F.col("w").isin(terms)).collect()}  # at most one row per template word
+    idf = {w: math.log((1 + n) / (1 + few.get(w, 0))) + 1 for w in terms}
     weights, telling = [], set()
     for i, (name, text) in enumerate(templates):
         counts = {w: _plain(text).count(w) for w in _plain(text)}
@@ -90,7 +89,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
             telling.add(w)
             left -= vector[w] ** 2
     tells = F.array(*map(F.lit, sorted(telling)))
-    able = stage(held.where(F.arrays_overlap("held", tells)).select("file").distinct())
+    able = stage(files.where(F.arrays_overlap(_words(F.col("text")), tells)).select("file").distinct())
     some = files.join(sized(able), "file", "left_semi")
     name = F.substring_index("path", "/", -1)
     units = F.split("text", r"\n|(?<=[.!?])\s+")
@@ -98,10 +97,11 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         F.when(name.rlike(LICENCE_NAMES), F.array_append(units, F.col("text"))).otherwise(units)).alias("unit")).distinct()
     units = (units.withColumn("words", _words(F.col("unit"))).where(F.arrays_overlap("words", tells))
              .withColumn("u", F.xxhash64("file", "unit")))
-    counts = units.select("file", "u", F.explode("words").alias("w")).groupBy("file", "u", "w").agg(F.count("*").alias("tf"))
-    known = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
-    vectors = (counts.join(known, "w", "left")
-               .withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(strange))))
+    counts = stage(units.select("file", "u", F.explode("words").alias("w"))
+                   .groupBy("file", "u", "w").agg(F.count("*").alias("tf")))
+    known = stage(seen.join(counts.select("w").distinct(), "w", "left_semi")
+                  .select("w", (F.log(F.lit(1 + n) / (1 + F.col("n"))) + 1).alias("idf")))
+    vectors = counts.join(sized(known, WORDS_AT_MOST), "w").withColumn("x", F.expr("tf * idf"))
     norms = vectors.groupBy("file", "u").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     table = F.broadcast(spark.createDataFrame(weights, "template int, licence string, w string, y double"))
     dots = vectors.join(table, "w").groupBy("file", "u", "template", "licence").agg(F.sum(F.expr("x * y")).alias("dot"))
