@@ -3,11 +3,17 @@ templates, then inheritance from the nearest ancestor directory.
 
 Words are lower-cased runs of letters and digits, each weighted by
 ln((1 + files) / (1 + files with the word)) + 1 over all files; words outside
-the templates only lengthen a vector, common ones by little.  The units compared are the
-sentences of every line of the whole text, and the whole text of files with a
-licence file's name.  A unit without a template's telling words (its heaviest,
+the templates only lengthen a vector, common ones by little.  The units
+compared are the sentences of every line of the whole text, the sentences of
+every paragraph over its lines, the runs of as many words as a template that
+begin with one of its words, wherever lines break, and the whole text of files
+with a licence file's name.  Marks that are no letters or digits (comment
+marks, quotes) part words only.  A unit without a template's telling words (its heaviest,
 without which the cosine stays below the threshold) cannot reach it, so only
-files and units that hold one are compared; nothing is lost.
+files and units that hold one are compared; nothing is lost.  A run is taken
+apart only where its dot product reaches the threshold with the least norm
+that it can have: a word weighs 1 or more, and a repeated word lengthens the
+vector.
 
 A file's own licence is its best unit's template; a file without one takes
 that of the nearest directory at or above its own with a licensed licence
@@ -25,6 +31,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import prepare, sized, stage
 
@@ -62,6 +69,26 @@ def _plain(text: str) -> list[str]:
     return "".join(c.lower() if c.isalnum() else " " for c in text).split()
 
 
+def _runs(texts: DataFrame, templates, weights, idf: dict[str, float], threshold: float) -> DataFrame:
+    """(file, pos, m): the runs of m words of ``texts`` (file, words) that can
+    reach the threshold with a template of m words."""
+    parts = {w: [0.0] * len(templates) for w in idf}
+    for i, _, w, y in weights:
+        parts[w][i] = idf[w] * y
+    table = F.broadcast(texts.sparkSession.createDataFrame(
+        [(w, idf[w] ** 2 - 1, part) for w, part in parts.items()], "w string, over double, part array<double>"))
+    spots = (texts.distinct().select("file", F.size("words").alias("size"), F.posexplode("words").alias("pos", "w"))
+             .join(table, "w"))
+    by, hits = Window.partitionBy("file").orderBy("pos"), []
+    for i, (_, text) in enumerate(templates):
+        m = len(_plain(text))
+        run, part = by.rangeBetween(0, m - 1), F.col("part")[i]
+        least = F.sqrt(F.sum("over").over(run) + F.least(F.lit(m), F.col("size") - F.col("pos")))
+        hits.append(F.when((part > 0) & (F.sum(part).over(run) >= threshold * (1 - 1e-6) * least), F.lit(m)))
+    hits = spots.select("file", "pos", F.array(*hits).alias("m"))
+    return stage(hits.select("file", "pos", F.explode(F.array_distinct("m")).alias("m")).where("m is not null"))
+
+
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(id, path, own_licence, cosine, licence, inherited_from) for every row of
     ``files`` (id, path, text)."""
@@ -92,11 +119,16 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     able = stage(files.where(F.arrays_overlap(_words(F.col("text")), tells)).select("file").distinct())
     some = files.join(sized(able), "file", "left_semi")
     name = F.substring_index("path", "/", -1)
-    units = F.split("text", r"\n|(?<=[.!?])\s+")
-    units = some.select("file", F.explode(
-        F.when(name.rlike(LICENCE_NAMES), F.array_append(units, F.col("text"))).otherwise(units)).alias("unit")).distinct()
-    units = (units.withColumn("words", _words(F.col("unit"))).where(F.arrays_overlap("words", tells))
-             .withColumn("u", F.xxhash64("file", "unit")))
+    lines = F.split("text", r"\n|(?<=[.!?])\s+")
+    paragraphs = F.split("text", r"\n[^\p{L}\p{N}\n]*(?=\n)|(?<=[.!?])\s+")
+    whole = F.when(name.rlike(LICENCE_NAMES), F.array("text")).otherwise(F.array().cast("array<string>"))
+    units = (some.select("file", F.explode(F.concat(lines, paragraphs, whole)).alias("unit"))
+             .select("file", _words(F.col("unit")).alias("words")))
+    texts = some.select("file", _words(F.col("text")).alias("words"))
+    runs = sized(_runs(texts, templates, weights, idf, threshold))
+    runs = texts.join(runs, "file").select("file", F.expr("slice(words, pos + 1, m)").alias("words"))
+    units = (units.union(runs).where(F.arrays_overlap("words", tells)).distinct()
+             .withColumn("u", F.xxhash64("file", "words")))
     counts = stage(units.select("file", "u", F.explode("words").alias("w"))
                    .groupBy("file", "u", "w").agg(F.count("*").alias("tf")))
     known = stage(seen.join(counts.select("w").distinct(), "w", "left_semi")
