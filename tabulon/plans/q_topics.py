@@ -52,9 +52,12 @@ def q_nmf_fit(spark, sf):
 
 
 def q_svd_fit(spark, sf):
-    _, _, sing = T.svd_fit(_emb_long(spark, sf), k=10, seed=SEED, row="file", col="term")
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(sing)],
-                                 "topic long, singular_value double")
+    W, H, sing = T.svd_fit(_emb_long(spark, sf), k=10, seed=SEED, row="file", col="term")
+    both = W.select(F.lit("W").alias("part"), F.col("file").cast("long").alias("id"), "topic", "w") \
+        .unionByName(H.select(F.lit("H").alias("part"), F.col("term").cast("long").alias("id"), "topic", "w"))
+    values = F.array(*[F.lit(float(s)) for s in sing])
+    return both.select("part", "id", F.col("topic").cast("long").alias("topic"),
+                       values[F.col("topic").cast("int")].alias("singular_value"), "w")
 
 
 def q_project_topics(spark, sf):
