@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import q_chat, q_dedup, q_licence, q_mix, q_search, q_text
+from . import q_chat, q_corpus, q_dedup, q_licence, q_mix, q_search, q_text
 
-MODULES = [q_chat, q_dedup, q_licence, q_mix, q_search, q_text]
+MODULES = [q_chat, q_corpus, q_dedup, q_licence, q_mix, q_search, q_text]
 
 
 def all_queries():
