@@ -38,7 +38,7 @@ from .common import chunked, fresh, prepare
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces and pairs that a task remembers.
-REMEMBERED, PAIRS = 200_000, 1_000_000
+REMEMBERED, PAIRS = 300_000, 1_000_000
 #: Longer pieces are not remembered, longer texts not split at once.
 LONG_PIECE, LONG_TEXT = 64, 1_000_000
 #: Code points behind a match that the pattern may look at ("'" reads on for "ll").
@@ -99,6 +99,26 @@ class Vocabulary:
             self.made.append(rank)
 
 
+class Memory(dict):
+    """Results of ``make`` by string.  When it is full it keeps what was asked
+    for since it was last full, so that common strings stay."""
+
+    def __init__(self, make):
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> tuple:
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > LONG_PIECE:
+                return got
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Coder:
     """Encodes pieces; holds the automaton and what it has seen."""
 
@@ -114,7 +134,7 @@ class Coder:
         self.finder.make_automaton()
         self.longest = max(self.size)
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple] = {}
+        self.known = Memory(self.piece_ids)
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves tokens a and b side by side.  Both are taken
@@ -160,12 +180,25 @@ class Coder:
                         last[end + 1:] = old[end + 1 - shift:]
                         return
 
-    def table(self, piece: bytes) -> array:
-        last = array("i", bytes(4 * len(piece)))
-        self.extend(piece.decode("latin-1"), last, 0)
+    def table(self, piece: bytes) -> list:
+        """The last token of every prefix of a piece."""
+        last, found = [], -1
+        size, pairs, n = self.size, self.pairs, len(self.size)
+        for end, token in self.finder.iter(piece.decode("latin-1")):
+            if end > found:
+                before = end - size[token]
+                if before < 0:
+                    good = True
+                else:
+                    good = pairs.get(last[before] * n + token)
+                    if good is None:
+                        good = self.apart(last[before], token)
+                if good:
+                    last.append(token)
+                    found = end
         return last
 
-    def read(self, piece: bytes, last: array) -> tuple:
+    def read(self, piece: bytes, last) -> tuple:
         """Token ids of a piece from its table."""
         whole = self.v.ranks.get(piece)
         if whole is not None:
@@ -176,17 +209,10 @@ class Coder:
             at -= self.size[last[at]]
         return tuple(out[::-1])
 
-    def ids(self, piece: str) -> tuple:
-        got = self.known.get(piece)
-        if got is None:
-            data = piece.encode()
-            whole = self.v.ranks.get(data)
-            got = (whole,) if whole is not None else self.read(data, self.table(data))
-            if len(piece) <= LONG_PIECE:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[piece] = got
-        return got
+    def piece_ids(self, piece: str) -> tuple:
+        data = piece.encode()
+        whole = self.v.ranks.get(data)
+        return (whole,) if whole is not None else self.read(data, self.table(data))
 
     def pieces(self, text: str):
         if len(text) <= LONG_TEXT:
@@ -194,7 +220,7 @@ class Coder:
         return (m.group() for m in self.pattern.finditer(text))
 
     def encode(self, text: str) -> array:
-        return array("i", chain.from_iterable(map(self.ids, self.pieces(text))))
+        return array("i", chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
 
     # the table of a whole text: one token per byte, as ~token where a piece ends
     def prefixes(self, text: str) -> array:
