@@ -36,9 +36,9 @@ LEAST, LONGEST, FIRST, INSIDE = 10, 3, 2000, 50
 #: Text bytes behind one hash partition; their number follows from it.
 PARTITION_BYTES = 32_000_000
 #: Text bytes that a task turns into arrays at a time, and running phrases that it counts before it hands them on.
-CHUNK, HELD = 1_500_000, 2_000_000
-#: Bits of the survivors' bitmap: 32 MB at any size of the input.
-BITS = 28
+CHUNK, HELD = 400_000, 1_000_000
+#: Bits of the survivors' bitmap: 16 MB at any size of the input.
+BITS = 27
 
 GAP, BREAK = np.zeros(256, bool), np.zeros(256, bool)
 GAP[[9, 32]] = True
@@ -137,11 +137,10 @@ def _shares(parts: int, longest: int):
         at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         ends, mass, part = np.append(at[1:], len(part)), np.add.reduceat(counts, at), part[at]
         counts = counts.astype(np.uint32)
-        for lo in range(0, len(at), 1000):
-            some = slice(lo, lo + 1000)
-            spans, n = list(zip(at[some], ends[some])), len(at[some])
+        for lo, hi in chunked(np.append(at, len(keys)), 100_000, 1000):
+            n, spans = hi - lo, list(zip(at[lo:hi], ends[lo:hi]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(part[some], 2)), pa.array(np.concatenate([mass[some], np.zeros(n, np.int64)])),
+                [pa.array(np.tile(part[lo:hi], 2)), pa.array(np.concatenate([mass[lo:hi], np.zeros(n, np.int64)])),
                  pa.array([None] * n + [keys[a:b].tobytes() for a, b in spans], pa.binary()),
                  pa.array([None] * n + [counts[a:b].tobytes() for a, b in spans], pa.binary())],
                 names=["part", "mass", "keys", "counts"])
