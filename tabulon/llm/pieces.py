@@ -317,13 +317,11 @@ def _shared(spark, path: str):
 _SENT: dict = {}
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "tokens", model: str = MODEL) -> DataFrame:
-    """``df`` with the piece ids of its text column as array<int> ``out``."""
-    prepare(df.sparkSession)
-    sent = _shared(df.sparkSession, model)
-    df = df.drop(out) if out.lower() != text.lower() else df
-    at = [c.lower() for c in df.columns].index(text.lower())
+#: Text bytes, and ids, that a task turns into arrays at a time.
+ENCODED, DECODED = 250_000, 100_000
+
 
+def _encoding(sent, at: int, out: str):
     def run(batches):
         encoder = Encoder(sent.value)
         for batch in batches:
@@ -331,23 +329,16 @@ def encode(df: DataFrame, text: str = "text", out: str = "tokens", model: str =
             if pc.any(pc.match_substring(column, BLANK)).as_py():
                 column = pc.replace_substring(column, BLANK, " ")
             data, offsets = text_bytes(column)
-            for lo, hi in chunked(offsets, 1_000_000):
+            for lo, hi in chunked(offsets, ENCODED):
                 flat, rows = encoder.batch(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 ids = pa.ListArray.from_arrays(rows.astype(np.int32), pa.array(flat))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*batch.schema.names, out])
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, tokens: str = "tokens", out: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``df`` with the text of its array<int> column of piece ids as ``out``."""
-    prepare(df.sparkSession)
-    sent = _shared(df.sparkSession, model)
-    df = df.drop(out) if out.lower() != tokens.lower() else df
-    at = [c.lower() for c in df.columns].index(tokens.lower())
-
+def _decoding(sent, at: int, out: str):
     def run(batches):
         surface = sent.value.surface
         length = np.array([len(x) for x in surface])
@@ -358,7 +349,7 @@ def decode(df: DataFrame, tokens: str = "tokens", out: str = "decoded", model: s
             count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ids = pc.list_flatten(column).to_numpy(zero_copy_only=False)
             rows = np.concatenate([[0], np.cumsum(count)])
-            for lo, hi in chunked(rows, 300_000):
+            for lo, hi in chunked(rows, DECODED):
                 some = ids[rows[lo]:rows[hi]]
                 if len(some) and (some.min() < 0 or some.max() >= len(surface)):
                     raise ValueError("a piece id is outside the vocabulary")
@@ -372,13 +363,44 @@ def decode(df: DataFrame, tokens: str = "tokens", out: str = "decoded", model: s
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return run
+
+
+def encode(df: DataFrame, text: str = "text", out: str = "tokens", model: str = MODEL) -> DataFrame:
+    """``df`` with the piece ids of its text column as array<int> ``out``."""
+    prepare(df.sparkSession)
+    sent = _shared(df.sparkSession, model)
+    df = df.drop(out) if out.lower() != text.lower() else df
+    at = [c.lower() for c in df.columns].index(text.lower())
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return df.mapInArrow(_encoding(sent, at, out), schema)
+
+
+def decode(df: DataFrame, tokens: str = "tokens", out: str = "decoded", model: str = MODEL) -> DataFrame:
+    """``df`` with the text of its array<int> column of piece ids as ``out``."""
+    prepare(df.sparkSession)
+    sent = _shared(df.sparkSession, model)
+    df = df.drop(out) if out.lower() != tokens.lower() else df
+    at = [c.lower() for c in df.columns].index(tokens.lower())
+    return df.mapInArrow(_decoding(sent, at, out), T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def encode_checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip) for every row of ``docs``:
-    round_trip says that decoding gives the text back."""
+    round_trip says that decoding gives the text back.  One worker a task
+    encodes, decodes and compares; no text goes back to the JVM."""
+    prepare(docs.sparkSession)
+    sent = _shared(docs.sparkSession, model)
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = decode(encode(docs, model=model), model=model)
-    return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens",
-                       (F.col("decoded") == F.replace("text", F.lit(BLANK), F.lit(" "))).alias("round_trip"))
+    there, back = _encoding(sent, 1, "tokens"), _decoding(sent, 2, "decoded")
+
+    def run(batches):
+        for batch in back(there(batches)):
+            same = pc.equal(batch.column(3), pc.replace_substring(batch.column(1).cast(pa.string()), BLANK, " "))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), same],
+                                             names=["doc_id", "tokens", "round_trip"])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("tokens", T.ArrayType(T.IntegerType())),
+                           T.StructField("round_trip", T.BooleanType())])
+    return docs.mapInArrow(run, schema).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens",
+                                               "round_trip")
