@@ -11,7 +11,7 @@ of a slice.
 
 Defined results: null and empty texts get the score of the bias alone; label
 rows without doc_id or toxic are left out, of several for one id the highest
-counts; without labels of both kinds every score is the share of label 1, 0
+counts, and of several texts of one id the smallest is learned; without labels of both kinds every score is the share of label 1, 0
 without any; repeated rows stay, with the same answer; columns besides doc_id
 and text play no part; an empty table gives an empty result.
 """
@@ -29,8 +29,6 @@ from .common import SALTS, chunked, fresh, mix, prepare, stage, text_bytes
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 5000
 SIZE, DIM, GRAMS = 2**18, 4, (3, 4, 5)
-#: Table rows seen in fewer sampled documents are not trained; their margin is 0.
-LEAST_DOCS = 20
 EPOCHS, RATE, DECAY = 20, 0.05, 1e-6
 
 _INSIDE = np.zeros(256, bool)
@@ -107,13 +105,13 @@ def _bags(batches):
 def fit(rows: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, float]:
     """Margin of each table row and bias, from documents as counted bags."""
     rng = np.random.default_rng(7)
-    used = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=SIZE) >= LEAST_DOCS)
+    used = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=SIZE))
     size = len(used)
     place = np.full(SIZE, -1)
     place[used] = np.arange(size)
     total = [max(1, c.sum()) for c in counts]
-    counts = [(c[place[r] >= 0] / t).astype(np.float32) for r, c, t in zip(rows, counts, total)]
-    rows = [place[r][place[r] >= 0].astype(np.int32) for r in rows]
+    counts = [(c / t).astype(np.float32) for c, t in zip(counts, total)]
+    rows = [place[r].astype(np.int32) for r in rows]
     table = rng.normal(0, 0.1, (size, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -153,9 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     chosen = stage(seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bags = (texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    bags = (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
             .mapInArrow(_bags, "doc_id long, toxic int, rows array<int>, counts array<int>")
-            .dropDuplicates(["doc_id"]).toArrow().to_pandas().sort_values("doc_id"))
+            .toArrow().to_pandas().sort_values("doc_id"))
     label = bags["toxic"].to_numpy(np.int64)
     if not len(label) or label.min() == label.max():
         return float(label.mean()) if len(label) else 0.0
