@@ -18,7 +18,9 @@ Defined results: vectors that are null or hold a null or non-finite component
 take no part; a repeated id is a candidate for each of its rows, but a query
 never finds rows of its own id, and of several rows with the query's id each
 asks (their results are merged, best first); shorter vectors count as padded
-with zeros; components must stay below 2**26 after quantising, else ValueError.
+with zeros; rows and queries with a component of 2**26 or more after quantising
+are left out of the bitmaps and scored apart, exactly; components and scores
+beyond 64 bits count as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql.window import Window
 from .common import prepare, stage
 
 SLICES, ROW_BLOCK, QUERY_BLOCK, QUERY_SLICE = 6, 16_384, 4_096, 64
+#: Components from here on are scored in whole numbers without bound; least score that is told.
+WIDE, LOWEST = 2**26, -2**63
 
 
 def _bitmap(flags: np.ndarray) -> np.ndarray:
@@ -156,11 +160,27 @@ def _matrix(column) -> np.ndarray:
     out = np.zeros((len(column), wide), np.int64)
     for i, x in enumerate(column):
         out[i, :len(x)] = x
-    if len(out) and np.abs(out).max(initial=0) >= 2**26:
-        raise ValueError("a quantised component is 2**26 or larger")
     return out
 
 
+def best_of_all(row_ids, rows, query_ids, queries, k: int) -> pd.DataFrame:
+    """As ``best_of_block``, for components of any size: rows and queries with
+    one of ``WIDE`` or more are scored apart, in whole numbers without bound."""
+    large = [((m >= WIDE) | (m <= -WIDE)).any(axis=1) for m in (rows, queries)]
+    if not large[0].any() and not large[1].any():
+        return best_of_block(row_ids, rows, query_ids, queries, k)
+    out = []
+    if not large[0].all() and not large[1].all():
+        out.append(best_of_block(row_ids[~large[0]], rows[~large[0]], query_ids[~large[1]], queries[~large[1]], k))
+    exact = [m.astype(object) for m in (rows, queries)]
+    for i in range(len(queries)):
+        at = np.flatnonzero((large[0] | large[1][i]) & (row_ids != query_ids[i]))
+        score = np.array([min(max(int(x), LOWEST), -LOWEST - 1) for x in exact[0][at] @ exact[1][i]], np.int64)
+        first = np.lexsort((row_ids[at], ~score))[:k]
+        out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": row_ids[at[first]], "score": score[first]}))
+    return pd.concat(out).astype("int64")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` (vec_id,
     embedding) for every row of ``queries`` (same columns)."""
@@ -187,7 +207,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         x, w = _matrix(left["v"]), _matrix(right["v"])
         wide = max(x.shape[1], w.shape[1], 1)
         x, w = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, w))
-        return best_of_block(left["id"].to_numpy(), x, right["id"].to_numpy(), w, k)
+        return best_of_all(left["id"].to_numpy(), x, right["id"].to_numpy(), w, k)
 
     found = (rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb"))
              .applyInPandas(run, "query_id long, vec_id long, score long"))
