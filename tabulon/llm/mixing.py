@@ -9,8 +9,10 @@ phase three documents at a time move along the null space of the constraints
 (words taken, documents taken) until one of them is decided, so that both
 totals of the source stay what they are; buckets of a source fly side by side
 and leave three undecided documents at most, which meet in fewer buckets
-until one is left.  The landing picks, for the last three and a few set
-aside, the outcome nearest to the words that remain, within one document.  All draws follow
+until one is left.  The landing decides the last three with a few set aside,
+the largest and some of all sizes: of all sums of words that a choice of them
+can reach (a dynamic program over sums and counts) it takes the one nearest to
+the words that remain, then the one nearest in documents.  All draws follow
 hashes of the rows: reruns agree.
 
 Defined results: size is the number of words, null text has none; documents
@@ -33,10 +35,12 @@ from .common import fresh, prepare, sized, stage
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Documents that fly together in one task, on average.
-BUCKET = 20_000
-#: Documents of a source, spread over its sizes, which do not fly: with the last
-#: three open ones they make the landing problem.
-ASIDE = 9
+BUCKET = 2_000
+#: Documents of a source that do not fly, the largest and others spread over its
+#: sizes: with the last three open ones they make the landing problem.
+LARGEST, SPREAD = 12, 20
+#: Steps in which the landing tells sums apart (one word, while the sum is below).
+STEPS = 2**17
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -86,12 +90,32 @@ def fly(size: np.ndarray, chance: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 
 def land(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Decide the few that are open: of the outcomes within one document of
-    the documents that remain, the nearest in words."""
-    picks = (np.arange(2 ** len(size))[:, None] >> np.arange(len(size))) & 1
-    off_docs = np.abs(picks.sum(axis=1) - chance.sum())
-    off_words = np.abs(picks @ size - (chance * size).sum())
-    return picks[np.lexsort((off_docs, off_words, off_docs >= 1))[0]].astype(float)
+    """Decide the few that are open: the choice nearest to the words that
+    remain, then nearest in documents.  Bit x of reach[k][c] says that some c of
+    the first k documents have x steps of words."""
+    unit = max(1, int(size.sum()) // STEPS + 1)
+    steps = [round(s / unit) for s in size]
+    reach = [[1]]
+    for s in steps:
+        last = reach[-1]
+        reach.append([(last[c] if c < len(last) else 0) | (last[c - 1] << s if c else 0) for c in range(len(last) + 1)])
+    words, docs = (chance * size).sum() / unit, chance.sum()
+    best = None
+    for count, sums in enumerate(reach[-1]):
+        below = sums & ((1 << int(words) + 1) - 1)
+        above = sums >> int(words) + 1
+        near = [below.bit_length() - 1] if below else []
+        near += [int(words) + (above & -above).bit_length()] if above else []
+        for x in near:
+            found = (abs(x - words), abs(count - docs), count, x)
+            best = found if best is None or found < best else best
+    _, _, count, x = best
+    picked = np.zeros(len(steps))
+    for k in range(len(steps), 0, -1):
+        if not (count < len(reach[k - 1]) and reach[k - 1][count] >> x & 1):
+            picked[k - 1] = 1.0
+            count, x = count - 1, x - steps[k - 1]
+    return picked
 
 
 def _level(group: pd.DataFrame) -> pd.DataFrame:
@@ -100,8 +124,10 @@ def _level(group: pd.DataFrame) -> pd.DataFrame:
     size = group["size"].to_numpy(float)
     draw = (group["draw"].to_numpy() + 0.5) / 2**31
     last = group["buckets"].iat[0] == 1
-    spot = np.unique((np.linspace(0.1, 0.9, ASIDE if last else 0) * (len(size) - 1)).astype(int))
-    aside = np.argsort(size, kind="stable")[spot]
+    by_size = np.argsort(size, kind="stable")
+    rest = by_size[:max(0, len(size) - LARGEST)]
+    spot = np.unique((np.linspace(0, 1, SPREAD) * (len(rest) - 1)).astype(int)) if len(rest) else []
+    aside = np.concatenate([rest[spot], by_size[len(rest):]]).astype(int) if last else by_size[:0]
     alive = np.setdiff1d(np.arange(len(group)), aside)
     while True:
         before = len(alive)
