@@ -45,10 +45,25 @@ def _pairs(spark, sf):
                              space.select("file", F.col("page").cast("string").alias("page")))
 
 
+def _doc_matrix(spark, sf):
+    return _tfidf_long(spark, sf).select(F.col("doc_id").alias("file"), "term", F.col("weight").alias("value"))
+
+
+def _doc_files(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("page"))
+
+
+def _doc_pairs(spark, sf):
+    files = _doc_files(spark, sf)
+    li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_orderkey").alias("reuse"))
+    return P.co_reused_pairs(li.join(files.select("file"), "file", "left_semi"), files)
+
+
 def q_nmf_fit(spark, sf):
-    W, H, obj = T.nmf_fit(_tfidf_long(spark, sf), k=5, n_iter=20, seed=SEED,
-                          row="doc_id", col="term", value="weight", track_objective=False)
-    return W.select("doc_id", F.col("topic").cast("long").alias("topic"), F.round("w", R).alias("w"))
+    W, H, _ = T.nmf_fit(_doc_matrix(spark, sf), k=5, seed=SEED, row="file", col="term")
+    both = W.select(F.lit("W").alias("part"), F.col("file").cast("string").alias("id"), "topic", "w") \
+        .unionByName(H.select(F.lit("H").alias("part"), F.col("term").alias("id"), "topic", "w"))
+    return both.select("part", "id", F.col("topic").cast("long").alias("topic"), F.round("w", R).alias("w"))
 
 
 def q_svd_fit(spark, sf):
@@ -61,13 +76,15 @@ def q_svd_fit(spark, sf):
 
 
 def q_project_topics(spark, sf):
-    V = _emb_long(spark, sf)
-    pages = table(spark, sf, "embeddings").select(F.col("vec_id").alias("file"), "label")
-    train = V.join(pages.filter("label < 5"), "file", "left_semi")
-    test = V.join(pages.filter("label >= 5"), "file", "left_semi")
+    """Held-out half of the documents in the space fitted to the other, by both models."""
+    V = _doc_matrix(spark, sf)
+    held = F.crc32(F.col("file").cast("string")) % 2 == 0
+    train, test = V.where(~held), V.where(held)
     _, H, _ = T.svd_fit(train, k=10, seed=SEED, row="file", col="term")
-    Wt = T.svd_project(test, H, row="file", col="term")
-    return Wt.select("file", F.col("topic").cast("long").alias("topic"), F.round("w", R).alias("w"))
+    svd = T.svd_project(test, H, row="file", col="term").select(F.lit("svd").alias("model"), "file", "topic", "w")
+    _, H, _ = T.nmf_fit(train, k=10, seed=SEED, row="file", col="term")
+    nmf = T.nmf_project(test, H, 10, row="file", col="term").select(F.lit("nmf").alias("model"), "file", "topic", "w")
+    return svd.unionByName(nmf).select("model", "file", F.col("topic").cast("long").alias("topic"), F.round("w", R).alias("w"))
 
 
 def q_pca_reduce(spark, sf):
@@ -98,7 +115,7 @@ def _dataset(spark, sf):
 
 
 def q_learn_metric(spark, sf):
-    L, _, losses = ML.learn_metric(ML.make_constraints(_dataset(spark, sf), SEED), 64, max_iter=10)
+    L, _, losses = ML.learn_metric(ML.make_constraints(_dataset(spark, sf), SEED), 64)
     rows = [(i, j, float(L[i, j])) for i in range(L.shape[0]) for j in range(L.shape[1])]
     return spark.createDataFrame(rows, "i long, j long, value double")
 
@@ -106,7 +123,7 @@ def q_learn_metric(spark, sf):
 def q_train_test_matrix(spark, sf):
     space = topic_space(spark, sf)
     tp = P.choose_test_pages(space, "page", 0.5, SEED, 1)
-    L, test, test_t = ML.train_test_matrix(space, _pairs(spark, sf), tp, True, max_iter=5)
+    L, test, test_t = ML.train_test_matrix(space, _pairs(spark, sf), tp, True)
     out = test.select("x1", "x2", "y", F.lit("plain").alias("space"))
     if test_t is not None:
         out = out.unionByName(test_t.select("x1", "x2", "y", F.lit("learned").alias("space")))
@@ -114,14 +131,17 @@ def q_train_test_matrix(spark, sf):
 
 
 def q_run_fold(spark, sf):
-    return ML.run_fold(topic_space(spark, sf), _pairs(spark, sf), 1, max_iter=5)
+    return ML.run_fold(topic_space(spark, sf), _pairs(spark, sf), 1)
+
+
+MODELS, TOPICS, FOLDS = ["nmf", "svd"], [5, 10, 15], [1, 2, 3, 4, 5]
 
 
 def q_grid_search(spark, sf):
     path = scratch_dir(spark, "grid")
     RL.create_result_log(spark, path)
-    ML.grid_search(_emb_long(spark, sf), _files(spark, sf), _pairs(spark, sf), folds=[1],
-                   models=["svd"], topic_counts=[5], results_path=path, seed=SEED, max_iter=5)
+    ML.grid_search(_doc_matrix(spark, sf), _doc_files(spark, sf), _doc_pairs(spark, sf), folds=FOLDS,
+                   models=MODELS, topic_counts=TOPICS, results_path=path, seed=SEED)
     return RL.read_result_log(spark, path)
 
 
@@ -140,17 +160,18 @@ def q_append_result_row(spark, sf):
     return log.withColumn("auc", F.round("auc", R))
 
 
+def _best_space(spark, sf):
+    return ML.fitted_space(_doc_matrix(spark, sf), _doc_files(spark, sf), "nmf", 25, SEED)
+
+
 def q_best_topic_space(spark, sf):
-    space, curve, ap, L = ML.best_topic_space(_emb_long(spark, sf), _files(spark, sf),
-                                              _pairs(spark, sf), "svd", 10, learn=True, seed=SEED,
-                                              max_iter=5)
+    _, curve, _, _ = ML.best_topic_space(_best_space(spark, sf), _doc_pairs(spark, sf), learn=True, seed=SEED)
     return curve.select(F.round("precision", R).alias("precision"), F.round("recall", R).alias("recall"),
                         F.round("threshold", R).alias("threshold"))
 
 
 def q_both_topic_spaces(spark, sf):
-    before, after, _ = ML.both_topic_spaces(_emb_long(spark, sf), _files(spark, sf),
-                                            _pairs(spark, sf), "svd", 10, seed=SEED, max_iter=5)
+    before, after, _ = ML.both_topic_spaces(_best_space(spark, sf), _doc_pairs(spark, sf), seed=SEED)
     return before.select("file", F.lit("before").alias("space"), "w") \
         .unionByName(after.select("file", F.lit("after").alias("space"), "w")) \
         .select("file", "space", F.array_join(F.transform("w", lambda v: F.round(v, R).cast("string")), " ")

@@ -15,4 +15,5 @@ def test_svd_fit_returns_both_factors(spark):
     sing = got.groupby("topic")["singular_value"].first().to_numpy()
     assert W.shape == (len(V), 10) and H.shape == (V.shape[1], 10)
     assert np.allclose(np.linalg.norm(W, axis=0), sing, rtol=1e-4)
-    assert np.allclose(V @ H, W, atol=0.2 * sing[0])
+    assert np.allclose(sing, np.linalg.svd(V, compute_uv=False)[:10], rtol=1e-3)
+    assert np.allclose(V @ H, W, atol=1e-6 * sing[0])
