@@ -85,10 +85,11 @@ def scan_raw_files(spark: SparkSession, path: str, glob: str | None = None) -> D
 
 
 def detect_mime(content: Column) -> Column:
-    """MIME type from the leading bytes; NULL for empty content; valid
-    UTF-8 text without a markup signature is ``text/plain``."""
+    """MIME type from the leading bytes (markup: behind blanks of any
+    number); NULL for empty content; valid UTF-8 text without a markup
+    signature is ``text/plain``."""
     head = F.hex(F.substring(content, 1, 16))
-    text_head = F.lower(F.ltrim(F.substring(content, 1, 64).cast("string")))
+    text_head = F.lower(F.substring(F.ltrim(content.cast("string")), 1, 64))
     expr = F.when(F.length(content) == 0, F.lit(None).cast("string"))
     for sig, mime in SIGNATURES:
         expr = expr.when(head.startswith(sig), F.lit(mime))

@@ -63,3 +63,11 @@ def _grouped(edges):
     for r in edges.collect():
         out.setdefault(r["a"], []).append(r)
     return out
+
+
+def test_markup_behind_many_blanks(spark):
+    from tabulon.sources import files as S
+
+    rows = [(" " * 5000 + "<!DOCTYPE html><p>", "text/html"), (" " * 100 + "<?xml?>", "text/xml"), (" " * 100 + "x", "text/plain")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert df.where(S.detect_mime(F.encode("t", "UTF-8")) != F.col("want")).count() == 0
