@@ -99,15 +99,16 @@ def positive_pairs(pairs: DataFrame, space: DataFrame, same_page: bool = True,
 
 
 def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page: bool = True,
-                   seed: int = 0, oversample: float = 2.0, max_rounds: int = 12) -> DataFrame:
+                   seed: int = 0, oversample: float = 2.0) -> DataFrame:
     """``n_needed`` random pairs of distinct files that share no reuse
     (and, unless ``same_page``, not the same page), finite differences only.
 
     Candidates are drawn by hashed indices into a dense file index (no cross
     join), filtered by an anti join against the co-reused pairs, and taken in
     draw order; further rounds, each stored and twice as large, draw fresh
-    candidates until enough are kept.  Raises if thousands of draws per pair
-    do not suffice: then hardly any such pair exists.
+    candidates until enough are kept.  Once a round would draw more than there
+    are pairs, all pairs are looked at, in hash order, in place of draws: where
+    fewer than ``n_needed`` qualify, the result is every one of them.
     """
     spark = space.sparkSession
     from ..session import cut_lineage
@@ -122,12 +123,19 @@ def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page:
                        F.col("page").alias("p2"), F.col("w").alias("w2"))
     shared = pairs.select(F.col("x1").alias("lo"), F.col("x2").alias("hi"))
     kept, start, found = None, 0, 0
-    for i in range(max_rounds):
-        m = (int(n_needed * oversample) + 16) << i
-        draws = spark.range(start, start + m).select(
-            F.col("id").alias("t"),
-            F.pmod(md5_rank(F.lit(seed), F.lit("a"), F.col("id")), F.lit(n)).alias("i1"),
-            F.pmod(md5_rank(F.lit(seed), F.lit("b"), F.col("id")), F.lit(n)).alias("i2"))
+    m, whole = int(n_needed * oversample) + 16, False
+    while found < n_needed and not whole:
+        whole = m >= n * (n - 1) // 2
+        if whole:
+            kept, found = None, 0
+            draws = (spark.range(n - 1).repartition("id")
+                     .select(F.col("id").alias("i1"), F.explode(F.expr(f"sequence(id + 1, {n - 1}L)")).alias("i2"))
+                     .withColumn("t", md5_rank(F.lit(seed), F.lit("all"), F.col("i1"), F.col("i2"))))
+        else:
+            draws = spark.range(start, start + m).select(
+                F.col("id").alias("t"),
+                F.pmod(md5_rank(F.lit(seed), F.lit("a"), F.col("id")), F.lit(n)).alias("i1"),
+                F.pmod(md5_rank(F.lit(seed), F.lit("b"), F.col("id")), F.lit(n)).alias("i2"))
         cand = (draws.filter(F.col("i1") != F.col("i2")).join(a, "i1").join(b, "i2")
                 .withColumn("lo", F.least("x1", "x2")).withColumn("hi", F.greatest("x1", "x2"))
                 .join(shared, ["lo", "hi"], "left_anti"))
@@ -139,12 +147,8 @@ def negative_pairs(space: DataFrame, pairs: DataFrame, n_needed: int, same_page:
         cand = cut_lineage(cand)
         found += cand.count()
         kept = cand if kept is None else kept.unionByName(cand)
-        start += m
-        if found >= n_needed:
-            break
-    else:
-        raise ValueError(f"{found} pairs without a common reuse in {start} draws, {n_needed} needed")
-    return (global_index(kept, "t", "_i").filter(F.col("_i") < n_needed)
+        start, m = start + m, 2 * m
+    return (global_index(kept, ["t", "x1", "x2"], "_i").filter(F.col("_i") < n_needed)
             .select("x1", "x2", "x", "d", F.lit(0).alias("y"), "t"))
 
 
