@@ -176,3 +176,34 @@ def group_quantiles(df: DataFrame, group_cols: list[str], value: Column,
         lo, hi, part = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_part_{name}")
         out.append(F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part).alias(name))
     return cum.groupBy(*group_cols).agg(*aggs).select(*group_cols, *out)
+
+
+def ranged_rows(df: DataFrame, order: list[Column], n_partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned on ``order`` and stored with their partition id
+    ``_pid``, for several calls of :func:`group_running`."""
+    return _ranged(df, order, n_partitions)
+
+
+def group_running(ranged: DataFrame, group_cols: list[str], order: Column, how, value: Column, out_col: str,
+                  before: bool = False, backwards: bool = False) -> DataFrame:
+    """Running ``how`` (``F.sum``, ``F.max`` or ``F.min``) of ``value`` within
+    each group over rows of :func:`ranged_rows`, as ``out_col``; ``before``
+    leaves the row itself out and ``backwards`` runs from the end.  A hot group
+    spans several partitions: each piece takes in the totals of those passed."""
+    from pyspark.sql.window import Window
+
+    def ordered(c: Column) -> Column:
+        return c.desc() if backwards else c.asc()
+
+    df = ranged.withColumn("_v", value)
+    pieces = df.groupBy("_pid", *group_cols).agg(how("_v").alias("_t"))
+    passed = (Window.partitionBy(*group_cols).orderBy(ordered(F.col("_pid")))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offs = pieces.select("_pid", *group_cols, how("_t").over(passed).alias("_off"))
+    w = (Window.partitionBy("_pid", *group_cols).orderBy(ordered(order))
+         .rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+    out = join_null_safe(df, offs, ["_pid", *group_cols]).withColumn("_own", how("_v").over(w))
+    own, off = F.col("_own"), F.col("_off")
+    both = own + off if how is F.sum else F.when((own > off) == F.lit(how is F.max), own).otherwise(off)
+    both = F.when(own.isNull() | off.isNull(), F.coalesce(own, off)).otherwise(both)
+    return out.withColumn(out_col, both).drop("_v", "_off", "_own")

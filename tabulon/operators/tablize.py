@@ -14,9 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.stats import md5_rank
+from ..functions.stats import group_row_number, group_running, md5_rank, ranged_rows
 
 # ---------------------------------------------------------------------------
 # Cleaning parameters of the reference configuration.
@@ -56,6 +55,8 @@ def is_float(c: Column) -> Column:
 
 #: A whole quoted field: quotes around it, doubled ones inside.
 QUOTED_RE = r'"[^"]*+(?:""[^"]*+)*+"'
+#: A quoted field without its end.
+OPEN_RE = r'"[^"]*+(?:""[^"]*+)*+\z'
 
 
 def _quoted_fields(line: Column, delim: Column) -> Column:
@@ -144,10 +145,10 @@ def sample_lines(lns: DataFrame, seed: int = 0, threshold_n_row: int = THRESHOLD
                      F.when(F.col("n_lines") >= threshold_n_row, F.lit(threshold_n_col))
                      .otherwise(F.lit(SMALL_FILE_N_COL)).alias("threshold"))
     h = md5_rank(F.lit(seed), F.col("file_id"), F.col("line_no"))
-    w = Window.partitionBy("file_id").orderBy(h, F.col("line_no"))
-    s = (lns.join(per.select("file_id", "_size"), "file_id")
-         .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_size"))
-         .select("file_id", "line_no", "line"))
+    ranks = group_row_number(lns.select("file_id", "line_no", h.alias("_h")), ["file_id"],
+                             [F.col("_h"), F.col("line_no")], "_r")
+    chosen = ranks.join(per.select("file_id", "_size"), "file_id").filter(F.col("_r") <= F.col("_size"))
+    s = lns.join(chosen.select("file_id", "line_no"), ["file_id", "line_no"], "left_semi")
     return s, per.select("file_id", "n_lines", "threshold")
 
 
@@ -159,12 +160,19 @@ def sniff_delimiter(lns: DataFrame, candidates: list[str] | None = None,
     ``consistency`` wins, ties by candidate order.  Files without such a
     candidate get no row (no table).  ``mode`` is the winner's count and
     ``agree`` the plain share of lines that have it."""
-    candidates = candidates or DELIMITERS
+    x = _with_candidates(lns, candidates).select(
+        "file_id", "pref", "delim", _n_delimiters(F.col("line"), F.col("delim")).alias("cnt"))
+    return _best_delimiter(x, consistency)
+
+
+def _with_candidates(lns: DataFrame, candidates: list[str] | None) -> DataFrame:
     cand = F.array(*[F.struct(F.lit(i).alias("pref"), F.lit(d).alias("delim"))
-                     for i, d in enumerate(candidates)])
-    x = lns.select("file_id", "line", F.explode(cand).alias("c")).select(
-        "file_id", "c.pref", "c.delim", _n_delimiters(F.col("line"), F.col("c.delim")).alias("cnt"))
-    freq = x.groupBy("file_id", "pref", "delim", "cnt").agg(F.count(F.lit(1)).alias("f"))
+                     for i, d in enumerate(candidates or DELIMITERS)])
+    return lns.select("*", F.explode(cand).alias("_c")).select("*", "_c.pref", "_c.delim").drop("_c")
+
+
+def _best_delimiter(counts: DataFrame, consistency: float) -> DataFrame:
+    freq = counts.groupBy("file_id", "pref", "delim", "cnt").agg(F.count(F.lit(1)).alias("f"))
     mode = freq.groupBy("file_id", "pref", "delim").agg(
         F.max(F.struct("f", "cnt")).alias("m"), F.sum("f").alias("n"))
     mode = mode.select("file_id", "pref", "delim", F.col("m.cnt").alias("mode"),
@@ -177,6 +185,105 @@ def sniff_delimiter(lns: DataFrame, candidates: list[str] | None = None,
                        F.col("b.mode").alias("mode"), F.col("b.agree").alias("agree"))
 
 
+# ---------------------------------------------------------------------------
+# Quoted fields over several lines
+# ---------------------------------------------------------------------------
+
+def _ends_open(line: Column, delim: Column) -> Column:
+    """Whether a line read from outside ends within a quoted field: its last
+    field opens with a quote and only doubled quotes follow."""
+    d = F.concat(F.lit("\\Q"), delim, F.lit("\\E"))
+    field = F.concat(d, F.lit(f"({QUOTED_RE}(?="), d, F.lit(f"|\\z)|{OPEN_RE}|[^"), d, F.lit("]*+)"))
+    last = F.element_at(F.regexp_extract_all(F.concat(delim, line), field, 1), -1)
+    return F.contains(line, F.lit('"')) & F.regexp_like(last, F.lit(f"\\A{OPEN_RE}"))
+
+
+def _from_inside(line: Column, delim: Column) -> tuple[Column, Column]:
+    """(how, state after) of a line read from inside a quoted field: ``stay``
+    without a closing quote, ``close`` when the first single quote stands
+    before a delimiter or the end, else ``bad``: the field was no quoted one,
+    and the line is read from outside."""
+    at = F.instr(F.replace(line, F.lit('""'), F.lit("..")), '"')
+    rest = F.substr(line, at + 1)
+    how = (F.when(at == 0, F.lit("stay"))
+           .when((rest == "") | F.startswith(rest, delim), F.lit("close")).otherwise(F.lit("bad")))
+    after = (F.when(how == "stay", F.lit(True))
+             .when(how == "close", F.when(rest == "", F.lit(False))
+                   .otherwise(_ends_open(F.substr(rest, F.length(delim) + 1), delim)))
+             .otherwise(_ends_open(line, delim)))
+    return how, after
+
+
+def fold_quoted(lns: DataFrame, keys: list[str], n_partitions: int | None = None) -> DataFrame:
+    """Lines (keys, line_no, line, delim) to records: lines that a quoted field
+    spans become one, joined by line breaks, under the number of the first.
+
+    Each line is a function from the quote state before it to the one after
+    it: constant, identity or flip.  The state before a line is the value of
+    the last constant one, flipped as often as lines since then flip; so
+    running maxima and sums over range-partitioned lines give it, and one
+    file can be many tasks.  A field whose closing quote never comes, or
+    stands before anything but a delimiter or the end of its line, is no
+    quoted field, and its lines stay apart."""
+    from ..session import cut_lineage
+
+    how, after = _from_inside(F.col("line"), F.col("delim"))
+    x = lns.select(*keys, "line_no", "line", "delim", _ends_open(F.col("line"), F.col("delim")).alias("_out"),
+                   how.alias("_how"), after.alias("_in"))
+    x = ranged_rows(x, [*[F.col(k) for k in keys], F.col("line_no")], n_partitions)
+    no = F.col("line_no")
+    flip = F.when(F.col("_out") & ~F.col("_in"), 1).otherwise(0)
+    x = cut_lineage(group_running(x, keys, no, F.sum, flip, "_flips"))
+    fixed = F.when(F.col("_out") == F.col("_in"),
+                   F.struct(no.alias("no"), F.col("_out").alias("value"), F.col("_flips").alias("flips")))
+    # both before the line: what it does itself is taken off again
+    x = cut_lineage(group_running(x, keys, no, F.max, fixed, "_last", before=True)
+                    .withColumn("_inside", (F.coalesce(F.col("_last.value").cast("int"), F.lit(0))
+                                            + F.col("_flips") - flip - F.coalesce("_last.flips", F.lit(0))) % 2 != 0))
+    end = F.when(F.col("_inside") & (F.col("_how") != "stay"),
+                 F.struct(no.alias("no"), (F.col("_how") == "close").alias("closed")))
+    x = cut_lineage(group_running(x, keys, no, F.min, end, "_end", backwards=True)
+                    .withColumn("_glued", F.col("_inside") & F.coalesce("_end.closed", F.lit(False))))
+    x = group_running(x, keys, no, F.max, F.when(~F.col("_glued"), no), "_start")
+    x = cut_lineage(x.select(*keys, "delim", "line_no", "line", "_glued", "_start"))
+    multi = x.filter("_glued").select(*keys, "_start").distinct()
+    on = [*keys, "_start"]
+    alone = x.join(multi, on, "left_anti").select(*keys, "delim", "line_no", "line")
+    folded = x.join(multi, on, "left_semi").groupBy(*keys, "delim", F.col("_start").alias("line_no")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), "line"))),
+                                 lambda s: s["line"]), "\n").alias("line"))
+    return alone.unionByName(folded)
+
+
+def sniff_records(lns: DataFrame, candidates: list[str] | None = None,
+                  consistency: float = DELIMITER_CONSISTENCY) -> tuple[DataFrame, DataFrame]:
+    """T8 where quoted fields may run over lines: (records, delimiters), the
+    records as (file_id, line_no, line).  Files with a line that ends within a
+    quoted field are read both ways for every candidate, line by line and
+    folded; the better share wins, folded on ties.  All others are read line
+    by line."""
+    from ..session import cut_lineage
+
+    plain = cut_lineage(sniff_delimiter(lns, candidates, consistency))
+    quoted = _with_candidates(lns.filter(F.contains("line", F.lit('"'))), candidates)
+    opened = cut_lineage(quoted.filter(_ends_open(F.col("line"), F.col("delim")))
+                         .select("file_id", "pref", "delim").distinct())
+    if opened.limit(1).count() == 0:
+        return lns, plain
+    read = lns.join(opened, "file_id").select("file_id", "pref", "line_no", "line", "delim")
+    records = cut_lineage(fold_quoted(read, ["file_id", "pref"]))
+    counts = records.select("file_id", "pref", "delim", _n_delimiters(F.col("line"), F.col("delim")).alias("cnt"))
+    folded = _best_delimiter(counts, consistency)
+    both = folded.select("*", F.lit(1).alias("fold")).unionByName(plain.select("*", F.lit(0).alias("fold")))
+    rest = [c for c in folded.columns if c not in ("file_id", "share")]
+    best = cut_lineage(both.groupBy("file_id").agg(F.max(F.struct("share", "fold", *rest)).alias("b"))
+                       .select("file_id", "b.*"))
+    won = best.filter("fold = 1").select("file_id", F.col("delimiter").alias("delim"))
+    out = (lns.join(won.select("file_id"), "file_id", "left_anti").select("file_id", "line_no", "line")
+           .unionByName(records.join(won, ["file_id", "delim"], "left_semi").select("file_id", "line_no", "line")))
+    return out, best.select(*folded.columns)
+
+
 def infer_width(lns: DataFrame, delims: DataFrame, threshold: float = WIDTH_SHARE) -> DataFrame:
     """n_col = count + 1 for the delimiter count shared by strictly more
     than ``threshold`` of a file's lines (unique: threshold > 0.5)."""
@@ -195,9 +302,8 @@ def split_content_extradata(lns: DataFrame, shape: DataFrame):
     j = lns.join(shape.select("file_id", "delimiter", "n_col"), "file_id")
     nf = _n_delimiters(F.col("line"), F.col("delimiter")) + 1
     j = j.withColumn("_good", nf == F.col("n_col"))
-    w = Window.partitionBy("file_id").orderBy("line_no")
-    content = (j.filter("_good").withColumn("gidx", (F.row_number().over(w) - 1).cast("long"))
-               .select("file_id", "gidx", "line_no", "line", "delimiter", "n_col"))
+    content = (group_row_number(j.filter("_good"), ["file_id"], [F.col("line_no")], "_rn")
+               .select("file_id", (F.col("_rn") - 1).alias("gidx"), "line_no", "line", "delimiter", "n_col"))
     bad = j.filter(~F.col("_good")).groupBy("file_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))),
                                  lambda s: s["line"]), " ").alias("extradata"))
@@ -332,7 +438,7 @@ def tablize_delimited(files: DataFrame, id_col: str = "file_id",
                       text_col: str = "text") -> dict[str, DataFrame]:
     """T8 → T13, T15, T16 end to end over a corpus of text files; all
     lines of a file decide its delimiter and, by the same counts, its width.
-    A quoted field must end on its line.
+    A quoted field may run over lines; they become one line of the table.
 
     Returns ``cells`` (file_id, row, col, col_name, value), ``profile``,
     ``headers``, ``extradata`` and ``errors`` (file_id, error_type) for the
@@ -341,7 +447,7 @@ def tablize_delimited(files: DataFrame, id_col: str = "file_id",
 
     lns = lines(files, id_col, text_col)
     # stage boundaries: each of these feeds several branches below
-    delims = cut_lineage(sniff_delimiter(lns))
+    lns, delims = sniff_records(lns)
     shape = delims.filter(F.col("agree") > WIDTH_SHARE).select(
         "file_id", "delimiter", "share", (F.col("mode") + 1).alias("n_col"))
     content, extradata = split_content_extradata(lns, shape)

@@ -117,3 +117,15 @@ def quoted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = F.concat(F.lit('"'), F.col("p_name"), F.lit('; said ""'), F.col("p_brand"), F.lit('"""'))
     part = part.withColumn("p_name", F.when(F.col("p_partkey") % 4 == 0, quoted).otherwise(F.col("p_name")))
     return _text_files(part, "p_partkey", PART_COLS, ";", PART_ROWS_PER_FILE, "part-", "# part batch")
+
+
+def multiline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part files with every third name quoted and over three lines, the
+    second of them empty; it holds the delimiter and doubled quotes.  Every
+    fifth type starts with a quote that is none of a field's."""
+    part = table(spark, sf_dir, "part")
+    long = F.concat(F.lit('"'), F.col("p_name"), F.lit('; ""\n\n'), F.col("p_brand"), F.lit('"";;"'))
+    part = (part.withColumn("p_name", F.when(F.col("p_partkey") % 3 == 0, long).otherwise(F.col("p_name")))
+            .withColumn("p_type", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('"so" '), F.col("p_type")))
+                        .otherwise(F.col("p_type"))))
+    return _text_files(part, "p_partkey", PART_COLS, ";", PART_ROWS_PER_FILE, "part-", "# part batch")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import md5_rank_sql
 from ..operators import tablize as T
 from .fixtures import (CUSTOMER_COLS, CUSTOMER_ROWS_PER_FILE, PART_COLS, PART_ROWS_PER_FILE,
-                       delimited_files, quoted_files, table)
+                       delimited_files, multiline_files, quoted_files, table)
 
 R = 6
 SEED = 0
@@ -106,6 +106,12 @@ def q_tablize_quoted(spark, sf):
     return cells.select("file_id", "row", "col_name", "value")
 
 
+def q_tablize_multiline(spark, sf):
+    """T8, T13, T14 with quoted fields over several lines."""
+    cells = T.tablize_delimited(multiline_files(spark, sf))["cells"]
+    return cells.select("file_id", "row", "col_name", "value")
+
+
 def q_incremental_tablize(spark, sf):
     """S8 as a stream: land the files, tablize what arrived, run again (the
     second run finds nothing new), read the appended cells."""
@@ -132,6 +138,7 @@ QUERIES = {
     "build_table": q_build_table,
     "tablize_delimited": q_tablize_delimited,
     "tablize_quoted": q_tablize_quoted,
+    "tablize_multiline": q_tablize_multiline,
     "drop_empty_columns": q_drop_empty_columns,
     "table_shape_profile": q_table_shape_profile,
     "cleaning_log_record": q_cleaning_log_record,
@@ -261,6 +268,12 @@ ORACLE = {
         FROM (SELECT *, max(CASE WHEN col = 0 THEN CAST(value AS BIGINT) END) OVER (PARTITION BY file_id, row) AS k,
                      max(CASE WHEN col = 2 THEN value END) OVER (PARTITION BY file_id, row) AS brand
               FROM {_orig_cells('part', 'p_partkey', PART_COLS, PART_ROWS_PER_FILE, 'part-')})""",
+    "tablize_multiline": f"""SELECT file_id, row, col_name,
+            CASE WHEN col = 1 AND k % 3 = 0 THEN value || '; "' || {NL} || {NL} || brand || '";;'
+                 WHEN col = 3 AND k % 5 = 0 THEN '"so" ' || value ELSE value END AS value
+        FROM (SELECT *, max(CASE WHEN col = 0 THEN CAST(value AS BIGINT) END) OVER (PARTITION BY file_id, row) AS k,
+                     max(CASE WHEN col = 2 THEN value END) OVER (PARTITION BY file_id, row) AS brand
+              FROM {_orig_cells('part', 'p_partkey', PART_COLS, PART_ROWS_PER_FILE, 'part-')})""",
     "incremental_tablize": f"WITH {ORIG} SELECT file_id, row, col_name, value FROM orig",
     "table_shape_profile": f"""WITH {ORIG},
         pc AS (SELECT file_id, col, count(*) AS n, count(value) AS n_present,
