@@ -144,6 +144,81 @@ def tablize_json(files: DataFrame, id_col: str = "file_id", text_col: str = "tex
     return cells.select("file_id", "row", "col_name", "value")
 
 
+def _is_filled(c: Column, kind: str) -> Column:
+    """A JSON text of type ``kind`` (``OBJECT`` or ``ARRAY``) with members."""
+    schema = F.schema_of_variant(F.try_parse_json(c))
+    opens = {"OBJECT": "{", "ARRAY": "["}[kind]
+    empty = F.regexp_like(c, F.lit(r"\A\s*(?:\{\s*\}|\[\s*\])\s*\z"))
+    return F.coalesce(F.ltrim(c).startswith(opens) & schema.startswith(kind) & ~empty, F.lit(False))
+
+
+def extradata_leaves(files: DataFrame, found: DataFrame, id_col: str = "file_id",
+                     text_col: str = "text") -> DataFrame:
+    """Extradata of T18, T19, T21 and T22: every leaf of a file outside its
+    record list, as (file_id, path, name, value) with one row per leaf.
+    ``path`` holds the positions from the root (its order is the document's),
+    ``name`` the keys, joined by dots.  ``found`` has one row per file (file_id,
+    path, key); files without one give no leaves.  Empty objects and arrays
+    and JSON nulls are leaves."""
+    from ..session import cut_lineage
+
+    won = found.select("file_id", F.col("path").alias("_path"), F.col("key").alias("_key"))
+    # a root array that is the record list leaves nothing
+    nodes = (files.select(F.col(id_col).alias("file_id"), F.array().cast("array<int>").alias("path"),
+                          F.lit("").alias("name"), F.col(text_col).alias("value"))
+             .join(won.filter(F.col("_key").isNotNull()), "file_id"))
+    leaves = None
+    while True:
+        nodes = cut_lineage(nodes.withColumn("_kind", F.when(_is_filled(F.col("value"), "OBJECT"), "object")
+                                             .when(_is_filled(F.col("value"), "ARRAY"), "array").otherwise("leaf")))
+        leaf = nodes.filter("_kind = 'leaf'").select("file_id", "path", "name", "value")
+        leaves = leaf if leaves is None else leaves.unionByName(leaf)
+        if nodes.filter("_kind <> 'leaf'").limit(1).count() == 0:
+            return leaves
+        keep = ["file_id", "path", "name", "_path", "_key"]
+        members = nodes.filter("_kind = 'object'").select(
+            *keep, F.posexplode(F.map_entries(F.from_json("value", MAP))).alias("_pos", "_e"))
+        members = members.filter(~((F.col("path") == F.col("_path")) & (F.col("_e.key") == F.col("_key"))))
+        members = members.select(*keep, "_pos", F.concat(
+            "name", F.when(F.col("name") == "", "").otherwise("."), "_e.key").alias("_name"),
+            F.col("_e.value").alias("value"))
+        items = nodes.filter("_kind = 'array'").select(
+            *keep, F.posexplode(F.from_json("value", "array<string>")).alias("_pos", "value")).withColumn(
+            "_name", F.col("name"))
+        nodes = members.unionByName(items).select(
+            "file_id", F.concat("path", F.array("_pos")).alias("path"), F.col("_name").alias("name"), "value",
+            "_path", "_key")
+
+
+def _tables(files: DataFrame, readable: Column, found: DataFrame, cells: DataFrame,
+            unreadable: str) -> dict[str, DataFrame]:
+    """Cells, extradata and errors of ``files`` (file_id, text): each file has
+    either cells or exactly one error row."""
+    tabled = cells.select("file_id").distinct()
+    status = (files.select("file_id", F.coalesce(readable, F.lit(False)).alias("_ok"))
+              .join(found.select("file_id", F.lit(1).alias("_list")), "file_id", "left")
+              .join(tabled.select("file_id", F.lit(1).alias("_cells")), "file_id", "left"))
+    errors = status.filter(F.col("_cells").isNull()).select(
+        "file_id", F.when(~F.col("_ok"), F.lit(unreadable)).when(F.col("_list").isNull(), F.lit("no_record_list"))
+        .otherwise(F.lit("empty_table")).alias("error_type"))
+    return {"cells": cells.select("file_id", "row", "col_name", "value"), "errors": errors,
+            "extradata": extradata_leaves(files, found.join(tabled, "file_id", "left_semi"))}
+
+
+def json_tables(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> dict[str, DataFrame]:
+    """T21 with all it leaves: ``cells`` (as :func:`tablize_json`),
+    ``extradata`` (:func:`extradata_leaves`) and ``errors`` (file_id,
+    error_type): ``no_json`` for damaged or null texts, ``no_record_list`` and
+    ``empty_table``.  File ids are unique; an empty table gives empty ones."""
+    from ..session import cut_lineage
+
+    files = cut_lineage(files.select(F.col(id_col).alias("file_id"), F.col(text_col).alias("text")))
+    readable = F.try_parse_json("text").isNotNull()
+    found = cut_lineage(find_record_list_deep(files.filter(readable)))
+    cells = cut_lineage(drop_empty_json_columns(normalize_records(found)))
+    return _tables(files, readable, found, cells, "no_json")
+
+
 # --------------------------------------------------------------------------
 # XML
 # --------------------------------------------------------------------------
@@ -173,9 +248,9 @@ def _xml_to_json(it):
         texts = []
         for x in pdf["xml"]:
             try:
-                root = ET.fromstring(x)
+                root = ET.fromstring(x or "")
                 texts.append(json.dumps({root.tag: _element_json(root)}, ensure_ascii=False))
-            except ET.ParseError:
+            except (ET.ParseError, ValueError):
                 texts.append(None)
         yield pd.DataFrame({"file_id": pdf["file_id"], "text": texts})
 
@@ -203,7 +278,11 @@ def tablize_xml(files: DataFrame, id_col: str = "file_id", xml_col: str = "xml")
     """Record lists found at every element; the table with the most
     non-empty columns wins, ties by more rows, then by document order;
     names cleaned.  Long cells (file_id, row, col_name, value)."""
-    js = xml_to_json(files, id_col, xml_col).filter(F.col("text").isNotNull())
+    cells, _ = _widest_tables(xml_to_json(files, id_col, xml_col).filter(F.col("text").isNotNull()))
+    return cells
+
+
+def _widest_tables(js: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = find_record_list_deep(js, all_nodes=True)
     cells = drop_empty_json_columns(normalize_records(found))
     shape = cells.groupBy("file_id", "path").agg(F.count_distinct("col_name").alias("n_col"),
@@ -212,4 +291,17 @@ def tablize_xml(files: DataFrame, id_col: str = "file_id", xml_col: str = "xml")
         "n_col", "n_row", F.transform("path", lambda p: -p).alias("neg_path"))).alias("b"))
     best = best.select("file_id", F.transform("b.neg_path", lambda p: -p).alias("path"))
     out = cells.join(best, ["file_id", "path"], "left_semi")
-    return out.select("file_id", "row", clean_xml_name(F.col("col_name")).alias("col_name"), "value")
+    return (out.select("file_id", "row", clean_xml_name(F.col("col_name")).alias("col_name"), "value"),
+            found.join(best, ["file_id", "path"], "left_semi"))
+
+
+def xml_tables(files: DataFrame, id_col: str = "file_id", xml_col: str = "xml") -> dict[str, DataFrame]:
+    """T22 with all it leaves: ``cells`` (as :func:`tablize_xml`), ``extradata``
+    (:func:`extradata_leaves`, names with ``@`` and ``$``) and ``errors``
+    (file_id, error_type): ``malformed_xml`` for damaged or null files,
+    ``no_record_list`` and ``empty_table``."""
+    from ..session import cut_lineage
+
+    js = cut_lineage(xml_to_json(files, id_col, xml_col))
+    cells, found = _widest_tables(js.filter(F.col("text").isNotNull()))
+    return _tables(js, F.col("text").isNotNull(), cut_lineage(found), cut_lineage(cells), "malformed_xml")

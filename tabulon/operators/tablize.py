@@ -160,8 +160,13 @@ def sniff_delimiter(lns: DataFrame, candidates: list[str] | None = None,
     ``consistency`` wins, ties by candidate order.  Files without such a
     candidate get no row (no table).  ``mode`` is the winner's count and
     ``agree`` the plain share of lines that have it."""
-    x = _with_candidates(lns, candidates).select(
-        "file_id", "pref", "delim", _n_delimiters(F.col("line"), F.col("delim")).alias("cnt"))
+    names = candidates or DELIMITERS
+    counts = F.array(*[_n_delimiters(F.col("line"), F.lit(d)) for d in names])
+    # lines alike in all counts are one row before the candidates part
+    alike = lns.select("file_id", counts.alias("_counts")).groupBy("file_id", "_counts").agg(F.count(F.lit(1)).alias("_n"))
+    x = alike.select("file_id", "_n", F.posexplode("_counts").alias("pref", "cnt")).select(
+        "file_id", "pref", F.element_at(F.array(*[F.lit(d) for d in names]), F.col("pref") + 1).alias("delim"),
+        "cnt", "_n")
     return _best_delimiter(x, consistency)
 
 
@@ -172,7 +177,7 @@ def _with_candidates(lns: DataFrame, candidates: list[str] | None) -> DataFrame:
 
 
 def _best_delimiter(counts: DataFrame, consistency: float) -> DataFrame:
-    freq = counts.groupBy("file_id", "pref", "delim", "cnt").agg(F.count(F.lit(1)).alias("f"))
+    freq = counts.groupBy("file_id", "pref", "delim", "cnt").agg(F.sum("_n").alias("f"))
     mode = freq.groupBy("file_id", "pref", "delim").agg(
         F.max(F.struct("f", "cnt")).alias("m"), F.sum("f").alias("n"))
     mode = mode.select("file_id", "pref", "delim", F.col("m.cnt").alias("mode"),
@@ -272,7 +277,8 @@ def sniff_records(lns: DataFrame, candidates: list[str] | None = None,
         return lns, plain
     read = lns.join(opened, "file_id").select("file_id", "pref", "line_no", "line", "delim")
     records = cut_lineage(fold_quoted(read, ["file_id", "pref"]))
-    counts = records.select("file_id", "pref", "delim", _n_delimiters(F.col("line"), F.col("delim")).alias("cnt"))
+    counts = records.select("file_id", "pref", "delim", _n_delimiters(F.col("line"), F.col("delim")).alias("cnt"),
+                            F.lit(1).alias("_n"))
     folded = _best_delimiter(counts, consistency)
     both = folded.select("*", F.lit(1).alias("fold")).unionByName(plain.select("*", F.lit(0).alias("fold")))
     rest = [c for c in folded.columns if c not in ("file_id", "share")]

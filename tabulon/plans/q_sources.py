@@ -15,7 +15,7 @@ from ..operators import structured as ST
 from ..operators import textfeat as tf
 from ..session import scratch_dir
 from ..sources import files as S
-from .fixtures import table
+from .fixtures import PART_ROWS_PER_FILE, table
 from .q_text import ORACLE as TEXT_ORACLE
 
 R = 6
@@ -255,6 +255,78 @@ def q_tablize_xml(spark, sf):
     return ST.tablize_xml(x).select("file_id", F.col("row").cast("long").alias("row"), "col_name", "value")
 
 
+def _damaged(files, id_col, text_col, share):
+    """Files with a third of them, by their ids' hashes, cut before their last character."""
+    bad = F.crc32(F.col(id_col).cast("binary")) % share == 0
+    return files.withColumn(text_col, F.when(bad, F.substr(F.col(text_col), F.lit(1), F.length(text_col) - 1))
+                            .otherwise(F.col(text_col)))
+
+
+def _parts(tables):
+    """Cells, extradata and errors as rows (file_id, part, place, name, value)."""
+    def text(c):
+        return F.col(c).cast("string")
+
+    cells = tables["cells"].select("file_id", F.lit("cell").alias("part"), text("row").alias("place"),
+                                   F.col("col_name").alias("name"), "value")
+    extra = tables["extradata"].select("file_id", F.lit("extradata").alias("part"), F.array_join(
+        F.col("path").cast("array<string>"), ".").alias("place"), "name", "value")
+    errors = tables["errors"].select("file_id", F.lit("error").alias("part"), F.lit("").alias("place"),
+                                     F.lit("").alias("name"), F.col("error_type").alias("value"))
+    return cells.unionByName(extra).unionByName(errors)
+
+
+def _event_files(spark, sf):
+    return table(spark, sf, "events").select(
+        F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("file_id"), F.col("props").alias("text"))
+
+
+def _order_files(spark, sf):
+    return _order_records(spark, sf).select(
+        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("file_id"), "xml")
+
+
+def q_json_leaves(spark, sf):
+    """Records, extradata and error rows give back every leaf of
+    every file; one in three of them is damaged."""
+    files = json_files(spark, sf).unionByName(_event_files(spark, sf))
+    return _parts(ST.json_tables(_damaged(files, "file_id", "text", 3)))
+
+
+def q_xml_leaves(spark, sf):
+    """T22 likewise."""
+    return _parts(ST.xml_tables(_damaged(_order_files(spark, sf), "file_id", "xml", 3)))
+
+
+def q_clean_files(spark, sf):
+    """One pass over delimited, JSON and XML files, some damaged, and
+    over workbooks, images and empty files: the outcome of every file."""
+    from ..operators.cleaning import clean_files
+    from .fixtures import delimited_files
+
+    def content(df, name):
+        return df.select("file_id", F.encode(F.col(name), "UTF-8").alias("content"))
+
+    part = delimited_files(spark, sf).filter(F.col("file_id").startswith("part-"))
+    other = table(spark, sf, "nation").select(
+        F.concat(F.lit("other-"), F.col("n_nationkey").cast("string")).alias("file_id"),
+        F.when(F.col("n_nationkey") % 3 == 0, F.to_binary(F.lit("D0CF11E0A1B11AE1"), F.lit("hex")))
+        .when(F.col("n_nationkey") % 3 == 1, F.to_binary(F.lit("89504E470D0A1A0A"), F.lit("hex")))
+        .otherwise(F.to_binary(F.lit(""), F.lit("hex"))).alias("content"))
+    files = content(part, "text").unionByName(other)
+    files = files.unionByName(content(_damaged(json_files(spark, sf), "file_id", "text", 3), "text"))
+    orders = _damaged(_order_files(spark, sf), "file_id", "xml", 3)
+    orders = orders.withColumn("xml", F.concat(F.lit('<?xml version="1.0"?>\n'), "xml"))
+    files = files.unionByName(content(orders, "xml"))
+    r = clean_files(files)
+    n_cells = r["cells"].groupBy("file_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    return (r["routes"].join(n_cells, "file_id", "left").join(r["extradata"], "file_id", "left")
+            .join(r["errors"], "file_id", "left")
+            .select("file_id", "route", F.coalesce("error_type", F.lit("table")).alias("outcome"),
+                    F.coalesce("n_cells", F.lit(0)).alias("n_cells"),
+                    F.coalesce("extradata", F.lit("")).alias("extradata")))
+
+
 # T23–T26 ---------------------------------------------------------------------
 
 SHEET_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"]
@@ -339,6 +411,9 @@ QUERIES = {
     "normalize_records": q_normalize_records,
     "tablize_json": q_tablize_json,
     "tablize_xml": q_tablize_xml,
+    "json_leaves": q_json_leaves,
+    "xml_leaves": q_xml_leaves,
+    "clean_files": q_clean_files,
     "sheet_clean_cells": q_sheet_clean_cells,
     "fill_merged_ranges": q_fill_merged_ranges,
     "filter_sheet_rows": q_filter_sheet_rows,
@@ -367,6 +442,26 @@ sl AS (SELECT 'lines-' || CAST(CAST(floor(l_orderkey / {ORDERS_PER_SHEET}) AS BI
           row_number() OVER (PARTITION BY floor(l_orderkey / {ORDERS_PER_SHEET}) ORDER BY l_orderkey, {", ".join(LINE_ORDER)}) - 1 AS row, *
        FROM lineitem)"""
 
+def _crc32_sql(text):
+    """CRC-32 of an ASCII text, bit by bit: DuckDB has no such function."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)),
+        lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {step})), 4294967295)"""
+
+
+JSON_LEAVES = f"""{SUPPLIER_CELLS}, {FILES_BY_DEPTH},
+names AS (SELECT DISTINCT 'nation-' || CAST(s_nationkey AS VARCHAR) || '-' || CAST(CAST(floor(s_suppkey / {SUPPLIERS_PER_FILE}) AS BIGINT) AS VARCHAR) AS file_id, n_name
+          FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+jx AS (SELECT file_id, depth, CASE depth WHEN 3 THEN '0.0' ELSE '0' END AS place,
+              CASE depth WHEN 3 THEN 'meta.nation' ELSE 'nation' END AS name, n_name AS value FROM fl JOIN names USING (file_id) WHERE depth > 0
+       UNION ALL SELECT file_id, depth, '1', 'region', '1' FROM fl WHERE depth = 1
+       UNION ALL SELECT file_id, depth, '1.0', 'data.count', CAST(n AS VARCHAR) FROM fl WHERE depth = 2),
+jbad AS (SELECT file_id FROM fl WHERE {_crc32_sql('file_id')} % 3 = 0)"""
+XML_LEAVES = f"""
+xf AS (SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS file_id, o_orderkey, any_value(o_orderstatus) AS status, count(*) AS n
+       FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+xs AS (SELECT *, CASE WHEN {_crc32_sql('file_id')} % 3 = 0 THEN 'malformed_xml' WHEN n < 2 THEN 'no_record_list' ELSE 'table' END AS outcome FROM xf)"""
+
 ORACLE = {
     "read_delimited": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
     "write_delimited": "SELECT n_nationkey, n_name, n_regionkey, true AS header_lines FROM nation",
@@ -411,6 +506,33 @@ ORACLE = {
           CASE WHEN depth = 0 THEN NULL ELSE 'suppliers' END AS key, n AS n_records FROM fl""",
     "normalize_records": f"WITH {SUPPLIER_CELLS} SELECT file_id, row, col_name, value FROM cells",
     "tablize_json": f"WITH {SUPPLIER_CELLS} SELECT file_id, row, col_name, value FROM cells",
+    "json_leaves": f"""WITH {JSON_LEAVES},
+        ev AS (SELECT 'event-' || CAST(event_id AS VARCHAR) AS file_id FROM events)
+        SELECT file_id, 'cell' AS part, CAST(row AS VARCHAR) AS place, col_name AS name, value FROM cells WHERE file_id NOT IN (FROM jbad)
+        UNION ALL SELECT file_id, 'extradata', place, name, value FROM jx WHERE file_id NOT IN (FROM jbad)
+        UNION ALL SELECT file_id, 'error', '', '', 'no_json' FROM jbad
+        UNION ALL SELECT file_id, 'error', '', '', CASE WHEN {_crc32_sql('file_id')} % 3 = 0 THEN 'no_json' ELSE 'no_record_list' END FROM ev""",
+    "xml_leaves": f"""WITH {XML_LEAVES},
+        l AS (SELECT file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS row,
+                     l_linenumber, l_partkey, l_quantity FROM lineitem JOIN xs ON l_orderkey = o_orderkey WHERE outcome = 'table')
+        SELECT file_id, 'cell' AS part, CAST(row AS VARCHAR) AS place, 'l_linenumber' AS name, CAST(l_linenumber AS VARCHAR) AS value FROM l
+        UNION ALL SELECT file_id, 'cell', CAST(row AS VARCHAR), 'l_partkey', CAST(l_partkey AS VARCHAR) FROM l
+        UNION ALL SELECT file_id, 'cell', CAST(row AS VARCHAR), 'l_quantity', CAST(l_quantity AS VARCHAR) FROM l
+        UNION ALL SELECT file_id, 'extradata', '0.0', 'order.@key', CAST(o_orderkey AS VARCHAR) FROM xs WHERE outcome = 'table'
+        UNION ALL SELECT file_id, 'extradata', '0.1.0', 'order.status.$', status FROM xs WHERE outcome = 'table'
+        UNION ALL SELECT file_id, 'error', '', '', outcome FROM xs WHERE outcome <> 'table'""",
+    "clean_files": f"""WITH {JSON_LEAVES}, {XML_LEAVES}
+        SELECT 'part-' || CAST(b AS VARCHAR) AS file_id, 'delimited' AS route, 'table' AS outcome, n * 6 AS n_cells,
+               '# part batch ' || CAST(b AS VARCHAR) AS extradata
+        FROM (SELECT CAST(floor(p_partkey / {PART_ROWS_PER_FILE}) AS BIGINT) AS b, count(*) AS n FROM part GROUP BY b)
+        UNION ALL SELECT fl.file_id, 'json', CASE WHEN jbad.file_id IS NULL THEN 'table' ELSE 'no_json' END,
+               CASE WHEN jbad.file_id IS NULL THEN 3 * n ELSE 0 END, CASE WHEN jbad.file_id IS NULL THEN coalesce(x, '') ELSE '' END
+        FROM fl LEFT JOIN jbad USING (file_id)
+        LEFT JOIN (SELECT file_id, string_agg(name || ': ' || value, chr(10) ORDER BY place) AS x FROM jx GROUP BY file_id) USING (file_id)
+        UNION ALL SELECT file_id, 'xml', outcome, CASE WHEN outcome = 'table' THEN 3 * n ELSE 0 END,
+               CASE WHEN outcome = 'table' THEN 'order.@key: ' || CAST(o_orderkey AS VARCHAR) || chr(10) || 'order.status.$: ' || status ELSE '' END FROM xs
+        UNION ALL SELECT 'other-' || CAST(n_nationkey AS VARCHAR), CASE n_nationkey % 3 WHEN 0 THEN 'excel' WHEN 1 THEN 'ignored' ELSE 'empty' END,
+               CASE n_nationkey % 3 WHEN 0 THEN 'workbook' WHEN 1 THEN 'ignored' ELSE 'empty' END, 0, '' FROM nation""",
     "tablize_xml": """WITH ml AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2),
         l AS (SELECT 'order-' || CAST(l_orderkey AS VARCHAR) AS file_id,
                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS row, *
