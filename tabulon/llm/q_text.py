@@ -25,8 +25,9 @@ def op3_pii(spark, sf_dir):
     base = "filter(spans, s -> s.base)"
     return found.select(
         "doc_id", *[F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as bigint)").alias(f"n_{k}")
-                    for k in personal.KINDS],
-        F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
+                    for k in personal.BASE_KINDS],
+        F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"),
+        F.expr("cast(size(filter(spans, s -> not s.base)) as bigint)").alias("n_added"))
 
 
 QUERIES = {"op3_pii": op3_pii, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
