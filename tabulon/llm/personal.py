@@ -488,6 +488,8 @@ def all_spans(texts: list[str], model) -> list[list[tuple[int, int, int, bool]]]
                     a += 1
                 while a < b and not (text[b - 1].isascii() and text[b - 1].isalnum()):
                     b -= 1
+                while text[a:a + 1] == "(" and text.count("(", a, b) > text.count(")", a, b):
+                    a += 1  # a bracket around the value, not of it
                 if label[2:] in ("secret", "email"):  # the value behind a name
                     a += max(text[a:b].rfind(c) for c in "=:\"'") + 1
                 if _checked(label[2:], text[a:b]) and all(b <= s[1] or s[2] <= a for s in out[i]):
