@@ -22,8 +22,12 @@ longest such l to its longest such r.  Nothing is lost by the sample.
     that order the backward contexts give the longest l for its r.
 4.  Runs are merged per document and cut out.
 
-Suffixes with the same first 32 bytes are solved in one task; only anchors
-that pass step 1 and, folded per task, distinct contexts get there.
+Suffixes with the same first 32 bytes meet in one task, up to ``HOT`` of them;
+only anchors that pass step 1 and, folded per task, distinct contexts get
+there.  Beyond it (a header of a third of all documents) a start of 32 bytes is
+solved by grouping alone: anchors with the same 368 bytes around them fold into
+one, and each that is left gives the 128-bit hashes of the 200-byte strings
+that hold it, which are counted.
 
 Defined results: null text is empty; documents are told apart by (doc_id,
 text), so repeated rows are copies of each other and get the same answer;
@@ -48,6 +52,8 @@ LENGTH, GRAM, HALF = 200, 32, 100
 BEFORE = LENGTH - GRAM
 #: Suffixes that a partition merges, on average.
 PER_PARTITION = 20_000
+#: Anchors with equal first 32 bytes that a task may get.
+HOT = 50_000
 #: Rows of two longs, hashes or runs, that may be broadcast (32 MB).
 BROADCAST_ROWS = 2_000_000
 
@@ -86,7 +92,7 @@ def _find(batches):
             part, edge = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
             at = anchors(part, edge)
             row = np.searchsorted(edge, at, "right") - 1
-            hashes = []
+            hashes = [pa.array(span_hashes(part, at, at + GRAM).view(np.int64))]
             for start, salt in ((at, SALTS[3000]), (at - HALF, SALTS[3001])):
                 inside = (start >= edge[row]) & (start + HALF <= edge[row + 1])
                 h = mix(span_hashes(part, start[inside], start[inside] + HALF) ^ salt).view(np.int64)
@@ -95,7 +101,51 @@ def _find(batches):
                 hashes.append(pa.array(full, mask=~inside))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[lo:hi][row]), pa.array(at - edge[row]), *hashes],
-                names=["key", "pos", "h_right", "h_left"])
+                names=["key", "pos", "gram", "h_right", "h_left"])
+
+
+#: A second, unlike hash of bytes takes them through this permutation first.
+OTHER = np.random.default_rng(20240301).permutation(256).astype(np.uint8)
+
+
+def _spots(batches):
+    """Texts with their hot positions, in slices: (keys, positions, row edges, bytes)."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        lists, keys = batch.column(2), batch.column(0).to_numpy(zero_copy_only=False)
+        for lo, hi in chunked(offsets):
+            part, edge = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+            own = lists.slice(lo, hi - lo)
+            row = np.repeat(np.arange(hi - lo), own.value_lengths().to_numpy(zero_copy_only=False))
+            yield keys[lo:hi][row], own.flatten().to_numpy(zero_copy_only=False).astype(np.int64), row, edge, part
+
+
+def _double(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, offset: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit hashes of each span together with the anchor's offset in it."""
+    salt = SALTS[3100 + offset]
+    return [pa.array(mix(span_hashes(x, starts, ends) ^ salt).view(np.int64)) for x in (part, OTHER[part])]
+
+
+def _contexts(batches):
+    for key, pos, row, edge, part in _spots(batches):
+        at = edge[row] + pos
+        l, r = np.minimum(pos, BEFORE), np.minimum(edge[row + 1] - at, LENGTH)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pos), pa.array(l), pa.array(r),
+                                          *_double(part, at - l, at + r, l)], names=["key", "pos", "l", "r", "h1", "h2"])
+
+
+def _windows(batches):
+    for key, pos, row, edge, part in _spots(batches):
+        for lo in range(0, len(pos), 2_000):
+            cut = slice(lo, lo + 2_000)
+            back = np.tile(np.arange(BEFORE + 1), len(pos[cut]))
+            k, p, i = (np.repeat(x[cut], BEFORE + 1) for x in (key, pos, row))
+            inside = (back <= p) & (edge[i] + p - back + LENGTH <= edge[i + 1])
+            back, k, p, i = back[inside], k[inside], p[inside], i[inside]
+            start = edge[i] + p - back
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p), pa.array(p - back),
+                                              *_double(part, start, start + LENGTH, back)],
+                                             names=["key", "pos", "s", "h1", "h2"])
 
 
 def shared(a: bytes, b: bytes, start: int = 0) -> int:
@@ -283,22 +333,48 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": keys[hit], "s": positions[hit] - ls[hit], "e": positions[hit] + rs[hit]})
 
 
+def _hot_hits(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """(key, s, e): what the anchors ``spots`` (key, pos) repeat among
+    themselves, without a group of equal starts in any task."""
+    def at(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+        return docs.join(held, "key").select("key", "text", "positions")
+
+    whole = stage(at(spots).mapInArrow(_contexts, "key long, pos long, l long, r long, h1 long, h2 long"))
+    each = stage(whole.where(f"l + r >= {LENGTH}").groupBy("h1", "h2")
+                 .agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one")))
+    same = (whole.join(each.where("n > 1").select("h1", "h2"), ["h1", "h2"], "left_semi")
+            .selectExpr("key", "pos - l as s", "pos + r as e"))
+    seen = stage(at(each.select("one.key", "one.pos")).mapInArrow(
+        _windows, "key long, pos long, s long, h1 long, h2 long"))
+    again = seen.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    part = seen.join(again, ["h1", "h2"], "left_semi").groupBy("key", "pos")
+    return same.union(part.agg(F.min("s").alias("s"), (F.max("s") + LENGTH).alias("e")).select("key", "s", "e"))
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(key, spans): the maximal repeated runs, as array of (s, e) in bytes, of
     each document (key long, text) that has any."""
     spark = docs.sparkSession
-    found = stage(docs.mapInArrow(_find, "key long, pos long, h_right long, h_left long"))
-    each = found.select("key", "pos", F.explode(F.array("h_right", "h_left")).alias("h")).where("h is not null")
+    found = stage(docs.mapInArrow(_find, "key long, pos long, gram long, h_right long, h_left long"))
+    each = found.select("key", "pos", "gram", F.explode(F.array("h_right", "h_left")).alias("h")).where("h is not null")
     again = stage(each.groupBy("h").count().where("count > 1").select("h"))
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    held = stage(each.join(again, "h", "left_semi").groupBy("key")
-                 .agg(F.sort_array(F.collect_set("pos")).alias("positions")))
+    held = stage(each.join(again, "h", "left_semi").select("key", "pos", "gram"))
+    hot = stage(held.groupBy("gram").count().where(f"count > {HOT}").select("gram"))
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        spots, held = held.join(hot, "gram", "left_semi").select("key", "pos"), held.join(hot, "gram", "left_anti")
+    held = stage(held.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("positions")))
     total = held.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PARTITION))
     runs = docs.join(held, "key").select("key", "text", "positions")
     runs = runs.mapInArrow(_runs(parts), "part int, lcps binary, rests binary, lengths binary, before binary,"
                            " before_lengths binary, counts binary, keys binary, positions binary")
     hits = runs.groupBy("part").applyInPandas(_merge, "key long, s long, e long")
+    if n_hot:
+        hits = hits.union(_hot_hits(docs, spots))
     by = Window.partitionBy("key").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     hits = hits.distinct().withColumn("new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1)))
