@@ -4,12 +4,13 @@ A turn is written ``<s>[role] text</s>`` and a line break; ``&``, ``<``, ``[``
 and ``]`` inside roles and texts become entities, so that no control string
 can stand in a text and every text can be read back.  Tokens of a turn are
 its words and ``MARKS`` for the marks.  Prefix sums of the tokens place every
-turn: of a window's ``budget`` the system turn (a first turn of that role), at
-most ``history`` tokens of whole earlier turns, and the conversation's longest
-turn are set aside; what is left is the stride, and the turns whose prefix
-falls into the same stride are new in the same window.  A window holds the
-system turn, the history and its new turns, and stays within the budget
-unless a single turn does not fit.  Loss spans (code points) cover the text of
+turn: a window's ``budget`` less the system turn (a first turn of that role)
+and at most ``history`` tokens of whole earlier turns is its room.  A turn of
+more than half the room is long: it alone is new in a window of its own, and
+prefixes start anew behind it.  The room less the longest other turn is the
+stride, and the other turns whose prefix falls into the same stride are new in
+the same window.  A window holds the system turn, the history and its new
+turns, and stays within the budget unless a single turn does not fit.  Loss spans (code points) cover the text of
 new assistant turns only: each target once, repeats are masked.
 
 Defined results: null role and text are empty; turns are ordered by turn,
@@ -53,27 +54,26 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
             .withColumn("before", F.sum("own").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own"))
             .withColumn("front", F.concat(F.lit("<s>["), escape(F.col("role")), F.lit("] ")))
             .withColumn("body", escape(F.col("text"))))
-    each = rows.groupBy("conv_id").agg(F.max("own").alias("longest"),
-                                       F.max(F.expr("if(head, tokens, 0)")).alias("system"))
-    rows = rows.join(each, rows["conv_id"].eqNullSafe(each["conv_id"])).drop(each["conv_id"])
-    rows = (rows.withColumn("stride", F.greatest(F.lit(1).cast("long"),
-                                                 F.lit(budget - history) - F.col("system") - F.col("longest")))
-            .withColumn("win", F.expr("before div stride")))
+    whole, upto = Window.partitionBy("conv_id"), by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("room", F.lit(budget - history) - F.max(F.expr("if(head, tokens, 0)")).over(whole))
+    rows = (rows.withColumn("long", F.expr("not head and 2 * own > room"))
+            .withColumn("longest", F.max(F.expr("if(long, 0, own)")).over(whole))
+            .withColumn("section", 2 * F.sum(F.expr("int(long)")).over(upto) - F.expr("int(long)"))
+            .withColumn("base", F.max(F.expr("if(long, before + own, 0)")).over(upto))
+            .withColumn("step", F.expr("if(long, 0, (before - base) div greatest(1, room - longest))")))
+    first = F.coalesce((F.col("section") != F.lag("section").over(by)) | (F.col("step") != F.lag("step").over(by)), F.lit(False))
+    rows = rows.withColumn("opens", first.cast("long")).withColumn("win", F.sum("opens").over(upto))
+    # the last window that starts within ``history`` tokens of a turn's place
+    ahead = Window.partitionBy("conv_id").orderBy("before").rangeBetween(0, history)
+    rows = rows.withColumn("last", F.max("win").over(ahead)).withColumn("turns", F.count("*").over(whole))
     new = rows.where("not head").withColumn("new", F.lit(1))
-    starts = new.groupBy("conv_id", "win").agg(F.min("before").alias("start"))
-    # a first turn of role system alone still makes a window
-    alone = rows.where("head and longest = 0").select("conv_id", F.lit(0).cast("long").alias("win"),
-                                                      F.lit(0).cast("long").alias("start"))
-    starts = starts.union(alone)
-    old = (new.withColumn("win", F.explode(F.expr(f"sequence(win + 1, greatest(win + 1, (before + {history}) div stride))")))
+    old = (new.where("last > win").withColumn("win", F.explode(F.expr("sequence(win + 1, last)")))
            .withColumn("new", F.lit(0)))
-    old = (old.alias("o").join(starts.alias("s"), F.expr("o.conv_id <=> s.conv_id and o.win = s.win"))
-           .where(f"s.start - o.before <= {history}").select("o.*"))
-    first = starts.groupBy("conv_id").agg(F.min("win").alias("first"))
+    # a first turn of role system alone still makes a window
+    starts = new.select("conv_id", "win").union(rows.where("head and turns = 1").select("conv_id", "win")).distinct()
     heads = rows.where("head").drop("win").alias("h")
-    heads = (heads.join(starts.alias("s"), F.expr("h.conv_id <=> s.conv_id"))
-             .join(first.alias("f"), F.expr("h.conv_id <=> f.conv_id"))
-             .select("h.*", "s.win", F.expr("int(s.win = f.first)").alias("new")))
+    heads = (heads.join(starts.alias("s"), F.expr("h.conv_id <=> s.conv_id")).select("h.*", "s.win")
+             .withColumn("new", (F.col("win") == F.min("win").over(whole)).cast("int")))
     columns = ["conv_id", "win", "pos", "new", "role", "front", "body"]
     placed = new.select(*columns).union(old.select(*columns)).union(heads.select(*columns))
     inside = Window.partitionBy("conv_id", "win").orderBy("pos")

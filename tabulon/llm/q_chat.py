@@ -27,11 +27,14 @@ p AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {MARKS} AS
   {_SIZE.format("role")} + {_SIZE.format("text")} + 11 AS size FROM t),
 h AS (SELECT *, pos = 1 AND role = 'system' AS head, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE tokens END AS own FROM p),
 b AS (SELECT *, sum(own) OVER (PARTITION BY conv_id ORDER BY pos) - own AS before,
-  greatest(1, {BUDGET - HISTORY} - max(own) OVER (PARTITION BY conv_id)
-    - max(CASE WHEN head THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id)) AS stride FROM h),
-w AS (SELECT *, (before // stride)::BIGINT AS win FROM b),
+  {BUDGET - HISTORY} - max(CASE WHEN head THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS room FROM h),
+g AS (SELECT *, NOT head AND 2 * own > room AS long FROM b),
+i AS (SELECT *, greatest(1, room - max(CASE WHEN long THEN 0 ELSE own END) OVER (PARTITION BY conv_id)) AS stride,
+  sum(CASE WHEN long THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS section,
+  max(CASE WHEN long THEN before + own ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS base FROM g),
+w AS (SELECT *, [2 * section - long::INT, CASE WHEN long THEN 0 ELSE (before - base) // stride END]::BIGINT[] AS win FROM i),
 s AS (SELECT conv_id, win, min(before) AS start FROM w WHERE NOT head GROUP BY ALL UNION ALL
-  SELECT conv_id, 0, 0 FROM w GROUP BY conv_id HAVING max(own) = 0),
+  SELECT conv_id, [0, 0]::BIGINT[], 0 FROM w GROUP BY conv_id HAVING max(own) = 0),
 f AS (
   SELECT conv_id, size FROM w WHERE NOT head
   UNION ALL SELECT w.conv_id, w.size FROM w JOIN s ON w.conv_id = s.conv_id AND NOT w.head AND w.win < s.win

@@ -81,6 +81,25 @@ def test_chat_round_trip(spark):
     assert chat.windows(turns.limit(0)).count() == 0
 
 
+def test_a_long_turn_keeps_the_other_windows(spark):
+    def rows(conv, long_at):
+        return [(conv, i, "assistant" if i % 2 else "user", "tok " * (900 if i in long_at else 20) + str(i)) for i in range(60)]
+
+    turns = spark.createDataFrame(rows(1, ()) + rows(2, (30,)) + rows(3, (0, 1, 59)) + [(4, 0, "system", "s " * 5_000)]
+                                  + [(4, i, "user", "a b") for i in range(1, 9)], "conv_id long, turn long, role string, text string")
+    formatted = chat.windows(turns).cache()
+    counts = {r.conv_id: r["count"] for r in formatted.groupBy("conv_id").count().collect()}
+    assert counts == {1: 3, 2: 5, 3: 6, 4: 8}
+    plain, one = (formatted.where(f"conv_id = {c}").selectExpr("sum(length(text)) as n").first().n for c in (1, 2))
+    assert one < plain + 900 * 4 + 3 * 128 * 8
+    back = [(r.conv_id, r.role, r.text) for r in chat.read_back(formatted).orderBy("conv_id", "win", "at").collect()]
+    assert back == [(r.conv_id, r.role, r.text) for r in turns.orderBy("conv_id", "turn").collect()]
+    for r in formatted.where("conv_id < 4").collect():
+        sizes = [len(t.split("</s>")[0].split()) + chat.MARKS - 1 for t in r.text.split("<s>")[1:]]
+        assert sum(sizes) <= chat.BUDGET or max(sizes) > (chat.BUDGET - chat.HISTORY) / 2
+        assert sum(sizes[:r.repeated]) <= chat.HISTORY
+
+
 def test_licences(spark):
     files = spark.createDataFrame(
         [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/b/COPYING", "no statement"),
