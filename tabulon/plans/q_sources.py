@@ -366,13 +366,13 @@ def sheet_fixture(spark, sf):
 
 def q_sheet_clean_cells(spark, sf):
     cells, _ = sheet_fixture(spark, sf)
-    return SH.sheet_clean_cells(cells).filter(F.col("row") == 0).select("sheet", "row", "col", "value")
+    return SH.sheet_clean_cells(cells).select("sheet", F.col("row").cast("long").alias("row"), "col", "value")
 
 
 def q_fill_merged_ranges(spark, sf):
     cells, ranges = sheet_fixture(spark, sf)
     f = SH.fill_merged_ranges(cells, ranges)
-    return f.filter(F.col("col") == 0).select("sheet", F.col("row").cast("long").alias("row"), "value")
+    return f.select("sheet", F.col("row").cast("long").alias("row"), "col", "value")
 
 
 def q_filter_sheet_rows(spark, sf):
@@ -442,6 +442,10 @@ sl AS (SELECT 'lines-' || CAST(CAST(floor(l_orderkey / {ORDERS_PER_SHEET}) AS BI
           row_number() OVER (PARTITION BY floor(l_orderkey / {ORDERS_PER_SHEET}) ORDER BY l_orderkey, {", ".join(LINE_ORDER)}) - 1 AS row, *
        FROM lineitem)"""
 
+_SHEET_HEAD = " UNION ALL ".join(f"SELECT sheet, CAST(1 AS BIGINT), {i}, '{c}' FROM t" for i, c in enumerate(SHEET_COLS))
+_SHEET_DATA = " UNION ALL ".join(f"SELECT sheet, row + 2, {i}, CAST({c} AS VARCHAR) FROM sl"
+                                 for i, c in enumerate(SHEET_COLS) if i)
+
 def _crc32_sql(text):
     """CRC-32 of an ASCII text, bit by bit: DuckDB has no such function."""
     step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
@@ -540,12 +544,18 @@ ORACLE = {
         SELECT file_id, row, 'l_linenumber' AS col_name, CAST(l_linenumber AS VARCHAR) AS value FROM l
         UNION ALL SELECT file_id, row, 'l_partkey', CAST(l_partkey AS VARCHAR) FROM l
         UNION ALL SELECT file_id, row, 'l_quantity', CAST(l_quantity AS VARCHAR) FROM l""",
-    "sheet_clean_cells": f"""WITH {SHEET_CELLS}
-        SELECT DISTINCT sheet, 0 AS row, 0 AS col, 'Lines of ' || sheet AS value FROM sl""",
-    "fill_merged_ranges": f"""WITH {SHEET_CELLS}
-        SELECT DISTINCT sheet, CAST(0 AS BIGINT) AS row, 'Lines' || chr(10) || 'of ' || sheet AS value FROM sl
-        UNION ALL SELECT DISTINCT sheet, CAST(1 AS BIGINT), 'l_orderkey' FROM sl
-        UNION ALL SELECT sheet, row + 2, CAST(l_orderkey AS VARCHAR) FROM sl""",
+    "sheet_clean_cells": f"""WITH {SHEET_CELLS}, t AS (SELECT DISTINCT sheet FROM sl)
+        SELECT sheet, CAST(0 AS BIGINT) AS row, 0 AS col, 'Lines of ' || sheet AS value FROM t
+        UNION ALL {_SHEET_HEAD}
+        UNION ALL SELECT sheet, row + 2, 0, CAST(l_orderkey AS VARCHAR) FROM sl
+          QUALIFY row = min(row) OVER (PARTITION BY sheet, l_orderkey)
+        UNION ALL {_SHEET_DATA}""",
+    "fill_merged_ranges": f"""WITH {SHEET_CELLS}, t AS (SELECT DISTINCT sheet FROM sl)
+        SELECT sheet, CAST(0 AS BIGINT) AS row, unnest(range({len(SHEET_COLS)}))::INT AS col,
+          'Lines' || chr(10) || 'of ' || sheet AS value FROM t
+        UNION ALL {_SHEET_HEAD}
+        UNION ALL SELECT sheet, row + 2, 0, CAST(l_orderkey AS VARCHAR) FROM sl
+        UNION ALL {_SHEET_DATA}""",
     "filter_sheet_rows": f"""WITH {SHEET_CELLS}
         SELECT sheet, string_agg('Lines of ' || sheet, ';') AS extradata, count(*) + 1 AS n_good, CAST(5 AS BIGINT) AS width
         FROM sl GROUP BY sheet""".replace("string_agg('Lines of ' || sheet, ';')",
