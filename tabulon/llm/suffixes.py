@@ -26,8 +26,9 @@ Suffixes with the same first 32 bytes meet in one task, up to ``HOT`` of them;
 only anchors that pass step 1 and, folded per task, distinct contexts get
 there.  Beyond it (a header of a third of all documents) a start of 32 bytes is
 solved by grouping alone: anchors with the same 368 bytes around them fold into
-one, and each that is left gives the 128-bit hashes of the 200-byte strings
-that hold it, which are counted.
+one; each that is left gives 128-bit hashes of the strings that hold it, which
+are counted: first 8 of 176 bytes, then those of 200 bytes that hold one of the
+former that occurs again.
 
 Defined results: null text is empty; documents are told apart by (doc_id,
 text), so repeated rows are copies of each other and get the same answer;
@@ -52,8 +53,11 @@ LENGTH, GRAM, HALF = 200, 32, 100
 BEFORE = LENGTH - GRAM
 #: Suffixes that a partition merges, on average.
 PER_PARTITION = 20_000
-#: Anchors with equal first 32 bytes that a task may get.
+#: Anchors with equal first 32 bytes that a task may get, counted once for each
+#: side of 100 bytes that occurs again.
 HOT = 50_000
+#: Bytes between the beginnings of strings that are looked at first.
+STEP = 24
 #: Rows of two longs, hashes or runs, that may be broadcast (32 MB).
 BROADCAST_ROWS = 2_000_000
 
@@ -92,7 +96,7 @@ def _find(batches):
             part, edge = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
             at = anchors(part, edge)
             row = np.searchsorted(edge, at, "right") - 1
-            hashes = [pa.array(span_hashes(part, at, at + GRAM).view(np.int64))]
+            hashes = [pa.array((span_hashes(part, at, at + GRAM) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
             for start, salt in ((at, SALTS[3000]), (at - HALF, SALTS[3001])):
                 inside = (start >= edge[row]) & (start + HALF <= edge[row + 1])
                 h = mix(span_hashes(part, start[inside], start[inside] + HALF) ^ salt).view(np.int64)
@@ -134,18 +138,41 @@ def _contexts(batches):
                                           *_double(part, at - l, at + r, l)], names=["key", "pos", "l", "r", "h1", "h2"])
 
 
-def _windows(batches):
+def _around(batches):
     for key, pos, row, edge, part in _spots(batches):
-        for lo in range(0, len(pos), 2_000):
-            cut = slice(lo, lo + 2_000)
-            back = np.tile(np.arange(BEFORE + 1), len(pos[cut]))
-            k, p, i = (np.repeat(x[cut], BEFORE + 1) for x in (key, pos, row))
-            inside = (back <= p) & (edge[i] + p - back + LENGTH <= edge[i + 1])
-            back, k, p, i = back[inside], k[inside], p[inside], i[inside]
-            start = edge[i] + p - back
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p), pa.array(p - back),
-                                              *_double(part, start, start + LENGTH, back)],
-                                             names=["key", "pos", "s", "h1", "h2"])
+        at, raw = edge[row] + pos, part.tobytes()
+        l, r = np.minimum(pos, BEFORE), np.minimum(edge[row + 1] - at, LENGTH)
+        for lo in range(0, len(pos), 10_000):
+            cut = slice(lo, lo + 10_000)
+            bytes_ = [raw[i:j] for i, j in zip((at - l)[cut].tolist(), (at + r)[cut].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(pos[cut]), pa.array(l[cut]),
+                                              pa.array(bytes_, pa.binary())], names=["key", "pos", "l", "around"])
+
+
+def _strings(width: int, first: int):
+    """Hashes of the strings of ``width`` bytes that hold an anchor and begin
+    0 to ``first`` bytes, or so many as ``steps`` ask for, before it."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1_000):
+                own = batch.slice(lo, 1_000)
+                key, pos, l = (own.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+                around = own.column(3).to_pylist()
+                edge = np.concatenate([[0], np.cumsum([len(x) for x in around])]).astype(np.int64)
+                part = np.frombuffer(b"".join(around), np.uint8)
+                if first:
+                    backs = np.arange(0, first + 1, STEP)
+                    i, back = np.repeat(np.arange(len(key)), len(backs)), np.tile(backs, len(key))
+                else:
+                    i = np.repeat(np.arange(len(key)), own.column(4).value_lengths().to_numpy() * STEP)
+                    back = (own.column(4).flatten().to_numpy()[:, None] + np.arange(STEP)).reshape(-1)
+                start = edge[i] + l[i] - back
+                inside = (back <= l[i]) & (start + width <= edge[i + 1])
+                i, back, start = i[inside], back[inside], start[inside]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[i]), pa.array(pos[i]), pa.array(back.astype(np.int64)),
+                     *_double(part, start, start + width, back)], names=["key", "pos", "back", "h1", "h2"])
+    return run
 
 
 def shared(a: bytes, b: bytes, start: int = 0) -> int:
@@ -345,22 +372,32 @@ def _hot_hits(docs: DataFrame, spots: DataFrame) -> DataFrame:
                  .agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one")))
     same = (whole.join(each.where("n > 1").select("h1", "h2"), ["h1", "h2"], "left_semi")
             .selectExpr("key", "pos - l as s", "pos + r as e"))
-    seen = stage(at(each.select("one.key", "one.pos")).mapInArrow(
-        _windows, "key long, pos long, s long, h1 long, h2 long"))
-    again = seen.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    # a string of 200 bytes holds one of 176 bytes that begins at a whole step before the anchor
+    schema = "key long, pos long, back long, h1 long, h2 long"
+    reps = stage(at(each.select("one.key", "one.pos")).mapInArrow(_around, "key long, pos long, l long, around binary"))
+    rough = stage(reps.mapInArrow(_strings(LENGTH - STEP, BEFORE), schema))
+    often = rough.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    steps = (rough.join(often, ["h1", "h2"], "left_semi").groupBy("key", "pos")
+             .agg(F.sort_array(F.collect_set("back")).alias("steps")))
+    seen = stage(reps.join(steps, ["key", "pos"]).select("key", "pos", "l", "around", "steps"))
+    seen = seen.mapInArrow(_strings(LENGTH, 0), schema)
+    again = stage(seen.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS // 8 else again
     part = seen.join(again, ["h1", "h2"], "left_semi").groupBy("key", "pos")
-    return same.union(part.agg(F.min("s").alias("s"), (F.max("s") + LENGTH).alias("e")).select("key", "s", "e"))
+    part = part.agg(F.max("back").alias("most"), F.min("back").alias("least"))
+    return same.union(part.selectExpr("key", "pos - most as s", f"pos - least + {LENGTH} as e"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(key, spans): the maximal repeated runs, as array of (s, e) in bytes, of
     each document (key long, text) that has any."""
     spark = docs.sparkSession
-    found = stage(docs.mapInArrow(_find, "key long, pos long, gram long, h_right long, h_left long"))
+    found = stage(docs.mapInArrow(_find, "key long, pos long, gram int, h_right long, h_left long"))
     each = found.select("key", "pos", "gram", F.explode(F.array("h_right", "h_left")).alias("h")).where("h is not null")
     again = stage(each.groupBy("h").count().where("count > 1").select("h"))
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    held = stage(each.join(again, "h", "left_semi").select("key", "pos", "gram"))
+    held = each.join(again, "h", "left_semi").select("key", "pos", "gram")
+    # grams by 32 bits of their hash: what shares them is hot or not together
     hot = stage(held.groupBy("gram").count().where(f"count > {HOT}").select("gram"))
     n_hot = hot.count()
     if n_hot:
