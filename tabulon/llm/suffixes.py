@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SALTS, chunked, mix, prepare, span_hashes, stage, text_bytes
+from .common import SALTS, chunked, mix, prepare, sized, span_hashes, stage, text_bytes
 
 LENGTH, GRAM, HALF = 200, 32, 100
 #: Bytes before an anchor that a window of it can reach.
@@ -131,22 +131,24 @@ def _double(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, offset: np.n
 
 
 def _contexts(batches):
-    for key, pos, row, edge, part in _spots(batches):
-        at = edge[row] + pos
-        l, r = np.minimum(pos, BEFORE), np.minimum(edge[row + 1] - at, LENGTH)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pos), pa.array(l), pa.array(r),
-                                          *_double(part, at - l, at + r, l)], names=["key", "pos", "l", "r", "h1", "h2"])
-
-
-def _around(batches):
+    """The 368 bytes around every hot anchor as two hashes, and as bytes the
+    first time that a task meets them (it forgets what it met now and then)."""
+    met = set()
     for key, pos, row, edge, part in _spots(batches):
         at, raw = edge[row] + pos, part.tobytes()
         l, r = np.minimum(pos, BEFORE), np.minimum(edge[row + 1] - at, LENGTH)
         for lo in range(0, len(pos), 10_000):
             cut = slice(lo, lo + 10_000)
-            bytes_ = [raw[i:j] for i, j in zip((at - l)[cut].tolist(), (at + r)[cut].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(pos[cut]), pa.array(l[cut]),
-                                              pa.array(bytes_, pa.binary())], names=["key", "pos", "l", "around"])
+            hashes = _double(part, (at - l)[cut], (at + r)[cut], l[cut])
+            if len(met) > 200_000:
+                met.clear()
+            around = []
+            for *h, i, j in zip(*(x.to_pylist() for x in hashes), (at - l)[cut].tolist(), (at + r)[cut].tolist()):
+                around.append(None if tuple(h) in met else raw[i:j])
+                met.add(tuple(h))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[cut]), pa.array(pos[cut]), pa.array(l[cut]), pa.array(r[cut]),
+                 pa.array(around, pa.binary()), *hashes], names=["key", "pos", "l", "r", "around", "h1", "h2"])
 
 
 def _strings(width: int, first: int):
@@ -360,21 +362,21 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": keys[hit], "s": positions[hit] - ls[hit], "e": positions[hit] + rs[hit]})
 
 
-def _hot_hits(docs: DataFrame, spots: DataFrame) -> DataFrame:
-    """(key, s, e): what the anchors ``spots`` (key, pos) repeat among
-    themselves, without a group of equal starts in any task."""
-    def at(rows: DataFrame) -> DataFrame:
-        held = rows.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
-        return docs.join(held, "key").select("key", "text", "positions")
-
-    whole = stage(at(spots).mapInArrow(_contexts, "key long, pos long, l long, r long, h1 long, h2 long"))
+def _hot_hits(docs: DataFrame, spots: DataFrame, n_spots: int) -> DataFrame:
+    """(key, s, e): what the anchors ``spots`` (key, pos; at most ``n_spots``)
+    repeat among themselves, without a group of equal starts in any task."""
+    held = spots.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+    held = F.broadcast(held) if n_spots <= BROADCAST_ROWS // 8 else held
+    whole = stage(docs.join(held, "key").select("key", "text", "positions").mapInArrow(
+        _contexts, "key long, pos long, l long, r long, around binary, h1 long, h2 long"))
+    own = F.when(F.col("around").isNotNull(), F.struct("key", "pos", "l", "around"))
     each = stage(whole.where(f"l + r >= {LENGTH}").groupBy("h1", "h2")
-                 .agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one")))
-    same = (whole.join(each.where("n > 1").select("h1", "h2"), ["h1", "h2"], "left_semi")
-            .selectExpr("key", "pos - l as s", "pos + r as e"))
+                 .agg(F.count("*").alias("n"), F.min_by(own, F.when(own.isNotNull(), F.struct("key", "pos"))).alias("one")))
+    same = sized(each.where("n > 1").select("h1", "h2"), BROADCAST_ROWS // 8)
+    same = whole.join(same, ["h1", "h2"], "left_semi").selectExpr("key", "pos - l as s", "pos + r as e")
     # a string of 200 bytes holds one of 176 bytes that begins at a whole step before the anchor
     schema = "key long, pos long, back long, h1 long, h2 long"
-    reps = stage(at(each.select("one.key", "one.pos")).mapInArrow(_around, "key long, pos long, l long, around binary"))
+    reps = each.select("one.*")
     rough = stage(reps.mapInArrow(_strings(LENGTH - STEP, BEFORE), schema))
     often = rough.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     steps = (rough.join(often, ["h1", "h2"], "left_semi").groupBy("key", "pos")
@@ -382,8 +384,7 @@ def _hot_hits(docs: DataFrame, spots: DataFrame) -> DataFrame:
     seen = stage(reps.join(steps, ["key", "pos"]).select("key", "pos", "l", "around", "steps"))
     seen = seen.mapInArrow(_strings(LENGTH, 0), schema)
     again = stage(seen.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
-    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS // 8 else again
-    part = seen.join(again, ["h1", "h2"], "left_semi").groupBy("key", "pos")
+    part = seen.join(sized(again, BROADCAST_ROWS // 8), ["h1", "h2"], "left_semi").groupBy("key", "pos")
     part = part.agg(F.max("back").alias("most"), F.min("back").alias("least"))
     return same.union(part.selectExpr("key", "pos - most as s", f"pos - least + {LENGTH} as e"))
 
@@ -398,10 +399,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     held = each.join(again, "h", "left_semi").select("key", "pos", "gram")
     # grams by 32 bits of their hash: what shares them is hot or not together
-    hot = stage(held.groupBy("gram").count().where(f"count > {HOT}").select("gram"))
-    n_hot = hot.count()
-    if n_hot:
-        hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    hot = stage(held.groupBy("gram").count().where(f"count > {HOT}"))
+    n_spots = hot.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    if n_spots:
+        hot = sized(hot.select("gram"), BROADCAST_ROWS // 8)
         spots, held = held.join(hot, "gram", "left_semi").select("key", "pos"), held.join(hot, "gram", "left_anti")
     held = stage(held.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("positions")))
     total = held.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]
@@ -410,8 +411,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     runs = runs.mapInArrow(_runs(parts), "part int, lcps binary, rests binary, lengths binary, before binary,"
                            " before_lengths binary, counts binary, keys binary, positions binary")
     hits = runs.groupBy("part").applyInPandas(_merge, "key long, s long, e long")
-    if n_hot:
-        hits = hits.union(_hot_hits(docs, spots))
+    if n_spots:
+        hits = hits.union(_hot_hits(docs, spots, n_spots))
     by = Window.partitionBy("key").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     hits = hits.distinct().withColumn("new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1)))
