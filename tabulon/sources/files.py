@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 # and the MIME routes of the cleaning step.
 SIGNATURES = [
     ("504B0304", "application/zip"),
+    ("504B0506", "application/zip"),
     ("25504446", "application/pdf"),
     ("D0CF11E0A1B11AE1", "application/CDFV2-unknown"),
     ("FFD8FF", "image/jpeg"),
@@ -33,6 +34,19 @@ TEXT_SIGNATURES = [
     ("<!doctype html", "text/html"),
     ("<html", "text/html"),
 ]
+# Members that tell Office packages from plain archives, and the first entries
+# of a compound file's directory (UTF-16).
+PACKAGE_MEMBERS = [
+    ("xl/workbook.", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
+    ("word/document.", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    ("ppt/presentation.", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
+]
+COMPOUND_ENTRIES = [
+    ("Workbook", "application/vnd.ms-excel"),
+    ("Book", "application/vnd.ms-excel"),
+    ("WordDocument", "application/msword"),
+    ("PowerPoint Document", "application/vnd.ms-powerpoint"),
+]
 ROUTES = [
     ("text/plain", "plain"),
     ("application/octet-stream", "plain"),
@@ -84,15 +98,44 @@ def scan_raw_files(spark: SparkSession, path: str, glob: str | None = None) -> D
     return r.option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
+def _package_type(content: Column) -> Column:
+    """Type of a zip container: an Office package lists ``[Content_Types].xml``
+    and its main part in the directory at its end (behind 46 bytes that begin
+    ``PK`` 1 2); an OpenDocument one opens with a stored member ``mimetype``;
+    any other is a plain archive."""
+    raw = content.cast("string")  # searched as bytes
+    before = F.octet_length(F.substring_index(raw, "PK\x01\x02", 1))
+    directory = F.substr(content, before + 1, F.octet_length(content)).cast("string")
+    expr = F.when(F.substring(content, 31, 8) == F.lit("mimetype").cast("binary"), F.substring_index(
+        F.substring(content, 39, 100).cast("string"), "PK", 1))
+    for member, mime in PACKAGE_MEMBERS:
+        expr = expr.when(directory.contains("[Content_Types].xml") & directory.contains(member), F.lit(mime))
+    return expr.otherwise(F.lit("application/zip"))
+
+
+def _compound_type(content: Column) -> Column:
+    """Type of a compound file by the names in its directory: an entry is 128
+    bytes that begin with the name, padded with zeros."""
+    raw = content.cast("string")
+    expr = None
+    for name, mime in COMPOUND_ENTRIES:
+        found = raw.contains("R\0o\0o\0t\0 \0E\0n\0t\0r\0y\0") & raw.contains("\0\0" + "\0".join(name) + "\0\0\0")
+        expr = F.when(found, F.lit(mime)) if expr is None else expr.when(found, F.lit(mime))
+    return expr.otherwise(F.lit("application/CDFV2-unknown"))
+
+
 def detect_mime(content: Column) -> Column:
-    """MIME type from the leading bytes (markup: behind blanks of any
-    number); NULL for empty content; valid UTF-8 text without a markup
-    signature is ``text/plain``."""
+    """MIME type from the leading bytes (markup: behind a byte-order mark
+    and blanks of any number); zip containers and compound files by what they
+    list, wherever it stands; NULL for empty content; valid UTF-8 text without
+    a markup signature is ``text/plain``."""
     head = F.hex(F.substring(content, 1, 16))
-    text_head = F.lower(F.substring(F.ltrim(content.cast("string")), 1, 64))
+    unmarked = F.when(head.startswith("EFBBBF"), F.substr(content, F.lit(4), F.octet_length(content))).otherwise(content)
+    text_head = F.lower(F.substring(F.ltrim(unmarked.cast("string")), 1, 64))
     expr = F.when(F.length(content) == 0, F.lit(None).cast("string"))
     for sig, mime in SIGNATURES:
-        expr = expr.when(head.startswith(sig), F.lit(mime))
+        kind = {"504B0304": _package_type, "D0CF11E0A1B11AE1": _compound_type}.get(sig)
+        expr = expr.when(head.startswith(sig), kind(content) if kind else F.lit(mime))
     for sig, mime in TEXT_SIGNATURES:
         expr = expr.when(text_head.startswith(sig), F.lit(mime))
     return expr.when(F.is_valid_utf8(content.cast("string")), F.lit("text/plain")) \
