@@ -48,3 +48,10 @@ def test_carried_columns_give_the_same_reports(spark):
                                                 pages, reuses)
                  .select("a", "b", "rank", "distance", "page", "common_reuse")):
         assert rows(make(plain)) == rows(make(rich))
+
+
+def test_neighbours_of_given_targets(spark):
+    _, _, space = _space(spark, 500, 3)
+    some = N.radius_neighbors(space, 0.7, block_rows=64, targets=[3, 8])
+    every = N.radius_neighbors(space, 0.7, block_rows=64).filter(F.col("a").isin(3, 8))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect()))
