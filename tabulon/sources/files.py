@@ -10,6 +10,7 @@ import zipfile
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -263,10 +264,11 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     return expand_archives_checked(archives)[0]
 
 
-def _zip_rows(it):
-    for pdf in it:
-        out = []
-        for key, members in zip(pdf["archive"], pdf["members"]):
+def _zip_rows(batches):
+    schema = pa.schema([("archive", pa.string()), ("content", pa.binary())])
+    for batch in batches:
+        for at in range(len(batch)):  # one archive's texts at a time as Python objects
+            key, members = (batch.column(c)[at].as_py() for c in ("archive", "members"))
             buf = io.BytesIO()
             with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
                 for m in members:
@@ -274,17 +276,18 @@ def _zip_rows(it):
                         zf.writestr(m["name"], b"")
                     else:
                         zf.writestr(m["name"], (m["text"] or "").encode("utf-8"))
-            out.append((key, buf.getvalue()))
-        yield pd.DataFrame(out, columns=["archive", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([buf.getvalue()], pa.binary())],
+                                             schema=schema)
 
 
 def build_archives(rows: DataFrame) -> DataFrame:
     """Zip bytes built inside the job from (archive, members array<struct<name,
-    text>>): the fixture of S9 and T1."""
+    text>>): the fixture of S9 and T1.  A task holds one Arrow batch of texts
+    and one archive."""
     from ..session import ship_package
 
     ship_package(rows.sparkSession)
-    return rows.mapInPandas(_zip_rows, "archive string, content binary")
+    return rows.select("archive", "members").mapInArrow(_zip_rows, "archive string, content binary")
 
 
 # S10 / S12 -------------------------------------------------------------------

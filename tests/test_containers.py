@@ -46,3 +46,17 @@ def test_containers_are_told_apart(spark):
     df = spark.createDataFrame([(i, bytearray(c)) for i, (c, _, _) in enumerate(cases)], "id int, content binary")
     got = df.select("id", S.detect_mime(F.col("content")).alias("mime")).withColumn("route", S.route_by_type(F.col("mime")))
     assert [(r.mime, r.route) for r in got.orderBy("id").collect()] == [(m, r) for _, m, r in cases]
+
+
+def test_archives_are_built_one_at_a_time():
+    import pyarrow as pa
+
+    members = [{"name": "text/body.txt", "text": "é" * 5}, {"name": "meta/", "text": None}, {"name": "none.txt", "text": None}]
+    batch = pa.RecordBatch.from_pylist([{"archive": str(i), "members": members} for i in range(3)])
+    out = list(S._zip_rows(iter([batch])))
+    assert [b.num_rows for b in out] == [1, 1, 1]  # a batch was one frame before
+    for i, b in enumerate(out):
+        row = b.to_pylist()[0]
+        with zipfile.ZipFile(io.BytesIO(row["content"])) as zf:
+            assert row["archive"] == str(i) and zf.read("text/body.txt").decode() == "é" * 5
+            assert zf.namelist() == ["text/body.txt", "meta/", "none.txt"]
