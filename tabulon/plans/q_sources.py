@@ -47,12 +47,15 @@ def q_write_delimited(spark, sf):
 def _order_records(spark, sf):
     li = table(spark, sf, "lineitem")
     o = table(spark, sf, "orders")
-    line = F.concat(F.lit("<line><l_linenumber>"), F.col("l_linenumber").cast("string"),
-                    F.lit("</l_linenumber><l_partkey>"), F.col("l_partkey").cast("string"),
-                    F.lit("</l_partkey><l_quantity>"), F.col("l_quantity").cast("string"),
-                    F.lit("</l_quantity></line>"))
-    lines = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct(*LINE_ORDER, line.alias("x")))), lambda s: s["x"]), "").alias("lines"))
+
+    def line(s):  # written once the lines are grouped: the text does not travel
+        return F.concat(F.lit("<line><l_linenumber>"), s["l_linenumber"].cast("string"),
+                        F.lit("</l_linenumber><l_partkey>"), s["l_partkey"].cast("string"),
+                        F.lit("</l_partkey><l_quantity>"), s["l_quantity"].cast("string"),
+                        F.lit("</l_quantity></line>"))
+
+    lines = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct(*LINE_ORDER))), line), "").alias("lines"))
     xml = F.concat(F.lit('<order key="'), F.col("o_orderkey").cast("string"), F.lit('"><status>'),
                    F.col("o_orderstatus"), F.lit("</status><lines>"), F.col("lines"),
                    F.lit("</lines></order>"))
