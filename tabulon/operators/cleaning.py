@@ -16,13 +16,18 @@ def _route(files: DataFrame) -> DataFrame:
     ``ignored`` or ``empty``.  Plain text is JSON when it parses as an object
     or array, or opens like one and has JSON's share of structure characters
     (damaged JSON); only text is decoded."""
-    x = files.withColumn("_route", F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, F.lit("empty"))
-                         .otherwise(route_by_type(detect_mime(F.col("content")))))
-    x = x.withColumn("text", F.when(F.col("_route").isin("plain", "xml"), decode_content(
-        F.col("content"), detect_encoding(F.col("content")))))
-    opens = F.regexp_like("text", F.lit(r"\A\s*[{\[]"))
-    is_json = opens & ((classify_json(F.col("text")) != "text") | looks_like_json(F.col("text")))
-    return x.select("file_id", F.when((F.col("_route") == "plain") & is_json, F.lit("json"))
+    # each in a column of its own: what a branch of an expression names again is computed again
+    x = files.withColumn("_mime", detect_mime(F.col("content")))
+    x = x.withColumn("_route", F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, F.lit("empty"))
+                     .otherwise(route_by_type(F.col("_mime"))))
+    x = x.withColumn("_encoding", F.when(F.col("_route").isin("plain", "xml"), detect_encoding(F.col("content"))))
+    x = x.withColumn("text", F.when(F.col("_route").isin("plain", "xml"),
+                                    decode_content(F.col("content"), F.col("_encoding"))))
+    # null for all other texts: both sides of an "and" may be computed for every row
+    opens = (F.col("_route") == "plain") & F.regexp_like("text", F.lit(r"\A\s*[{\[]"))
+    x = x.withColumn("_json", F.when(opens, F.col("text")))
+    is_json = (classify_json(F.col("_json")) != "text") | looks_like_json(F.col("_json"))
+    return x.select("file_id", F.when(is_json, F.lit("json"))
                     .when(F.col("_route") == "plain", F.lit("delimited"))
                     .otherwise(F.col("_route")).alias("route"), "text")
 

@@ -3,7 +3,7 @@
 import json
 
 from tabulon.operators import structured as ST
-from tabulon.operators.cleaning import clean_files
+from tabulon.operators.cleaning import _route, clean_files
 
 SCHEMA = "file_id string, text string"
 
@@ -45,3 +45,10 @@ def test_each_mixed_file_is_a_table_or_an_error(spark):
     assert {"js", "xml", "plain"} <= tables
     assert errors["cut"] == "no_json" and errors["gz"] == "ignored" and errors["book"] == "workbook"
     assert errors["empty"] == errors["null"] == "empty"
+
+
+def test_a_file_is_looked_at_once_and_only_text_that_opens_like_json_is_parsed(spark):
+    files = spark.createDataFrame([("a", b"x;y")], "file_id string, content binary")
+    plan = _route(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("50415231") == 1  # the last signature of the type's search
+    assert plan.count("parseJson(") == plan.count("parseJson(_json") > 0
