@@ -82,9 +82,8 @@ def q_flatten_catalog_json(spark, sf):
 # S5, S9, T1–T3 ---------------------------------------------------------------
 
 def q_scan_raw_files(spark, sf):
-    raw = S.scan_raw_files(spark, sf, "*.parquet")
-    return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length",
-                      S.detect_mime(F.col("content")).alias("mime"))
+    raw = S.scan_raw_types(spark, sf, "*.parquet")
+    return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "mime")
 
 
 def _archives(spark, sf):

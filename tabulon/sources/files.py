@@ -99,6 +99,58 @@ def scan_raw_files(spark: SparkSession, path: str, glob: str | None = None) -> D
     return r.option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
+#: Files of more bytes have their type found by lines, spread over tasks.
+WHOLE_BYTES = 128 * 1024 * 1024
+#: Names of files that Spark's text reader would unpack.
+PACKED_NAME = r"\.(gz|bz2|zst|deflate|snappy|lz4)$"
+
+
+def scan_raw_types(spark: SparkSession, path: str, glob: str | None = None,
+                   whole: int = WHOLE_BYTES) -> DataFrame:
+    """S5 with T1: (path, length, mime) of every file under ``path``.  Files
+    of up to ``whole`` bytes are read whole; of larger ones each task reads a
+    range of lines: a type shows at the start of the first line, and text is
+    valid when every line is.  Large zip containers, compound files and files
+    named as packed ones are still read whole, each by one task."""
+    small = scan_raw_files(spark, path, glob).filter(F.col("length") <= whole)
+    types = small.select("path", "length", detect_mime(F.col("content")).alias("mime"))
+
+    def reader():
+        r = spark.read.option("recursiveFileLookup", "true")
+        return r.option("pathGlobFilter", glob) if glob else r
+
+    files = (reader().format("binaryFile").load(path).filter(F.col("length") > whole)
+             .select("path", "length", F.col("_metadata.file_path").alias("_file")))
+    if files.isEmpty():
+        return types
+    lines = (reader().option("lineSep", "\n").text(path).filter(F.col("_metadata.file_size") > whole)
+             .select(F.col("_metadata.file_path").alias("_file"), F.col("value").cast("binary").alias("line"),
+                     F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at")))
+    read = lines.groupBy("_file").agg(
+        F.min_by("line", "_at").alias("_first"), F.sum(F.octet_length("line") + 1).alias("_bytes"),
+        F.bool_and(F.is_valid_utf8(F.col("line").cast("string"))).alias("_valid"))
+    x = files.filter(~F.col("path").rlike(PACKED_NAME)).join(read, "_file")
+    # the reader takes a byte-order mark off the first line
+    mark = F.when(F.col("length") - F.col("_bytes") >= 2, F.lit(b"\xef\xbb\xbf")).otherwise(F.lit(b""))
+    x = x.withColumn("_head", F.concat(mark, "_first", F.lit(b"\n")))
+    start = F.hex(F.substring("_head", 1, 8))
+    x = x.withColumn("mime", F.when(~(start.startswith("504B0304") | start.startswith("D0CF11E0A1B11AE1")),
+                                    detect_mime(F.col("_head"))))
+    by_line = x.filter(F.col("mime").isNotNull()).select("path", "length", F.when(
+        (F.col("mime") == "text/plain") & ~F.col("_valid"), F.lit("application/octet-stream"))
+        .otherwise(F.col("mime")).alias("mime"))
+    from ..session import cut_lineage
+
+    by_line = cut_lineage(by_line)
+    # one path for so many bytes each: few
+    rest = [r["path"] for r in files.join(by_line, "path", "left_anti").select("path").collect()]
+    types = types.unionByName(by_line)
+    if rest:
+        packed = spark.read.format("binaryFile").load(rest)
+        types = types.unionByName(packed.select("path", "length", detect_mime(F.col("content")).alias("mime")))
+    return types
+
+
 def _package_type(content: Column) -> Column:
     """Type of a zip container: an Office package lists ``[Content_Types].xml``
     and its main part in the directory at its end (behind 46 bytes that begin
